@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import pii, quality_rules
 
-QUERIES = {"op3_host_quality_rules": quality_rules.op3_host_quality_rules}
+QUERIES = {
+    "op2_weak_supervision_pii": pii.op2_weak_supervision_pii,
+    "op3_host_quality_rules": quality_rules.op3_host_quality_rules,
+}
 ORACLES = {"op3_host_quality_rules": quality_rules.ORACLE}
