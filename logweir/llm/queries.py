@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import pii, quality_rules
+from . import pii, quality_rules, repeats
 
 QUERIES = {
     "op2_weak_supervision_pii": pii.op2_weak_supervision_pii,
     "op3_host_quality_rules": quality_rules.op3_host_quality_rules,
+    "op5_repeated_phrase_automata": repeats.op5_repeated_phrase_automata,
 }
 ORACLES = {"op3_host_quality_rules": quality_rules.ORACLE}
