@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import pii, quality_rules, repeats
+from . import near_dup, pii, quality_rules, repeats
 
 QUERIES = {
     "op2_weak_supervision_pii": pii.op2_weak_supervision_pii,
     "op3_host_quality_rules": quality_rules.op3_host_quality_rules,
+    "op4_odd_sketch_near_dup": near_dup.op4_odd_sketch_near_dup,
     "op5_repeated_phrase_automata": repeats.op5_repeated_phrase_automata,
 }
 ORACLES = {"op3_host_quality_rules": quality_rules.ORACLE}
