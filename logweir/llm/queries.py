@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dup, pii, quality_rules, repeats
+from . import near_dup, pii, quality_rules, repeats, token_count
 
 QUERIES = {
     "op2_weak_supervision_pii": pii.op2_weak_supervision_pii,
     "op3_host_quality_rules": quality_rules.op3_host_quality_rules,
     "op4_odd_sketch_near_dup": near_dup.op4_odd_sketch_near_dup,
     "op5_repeated_phrase_automata": repeats.op5_repeated_phrase_automata,
+    "op6_transducer_token_count": token_count.op6_transducer_token_count,
 }
 ORACLES = {"op3_host_quality_rules": quality_rules.ORACLE}
