@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_dup, pii, quality_rules, repeats, token_count
+from . import near_dup, pii, quality_rules, repeats, token_count, warc
 
 QUERIES = {
     "op2_weak_supervision_pii": pii.op2_weak_supervision_pii,
@@ -10,5 +10,9 @@ QUERIES = {
     "op4_odd_sketch_near_dup": near_dup.op4_odd_sketch_near_dup,
     "op5_repeated_phrase_automata": repeats.op5_repeated_phrase_automata,
     "op6_transducer_token_count": token_count.op6_transducer_token_count,
+    "op7_arc_to_warc": warc.op7_arc_to_warc,
+}
+ORACLES = {
+    "op3_host_quality_rules": quality_rules.ORACLE,
+    "op7_arc_to_warc": warc.ORACLE,
 }
-ORACLES = {"op3_host_quality_rules": quality_rules.ORACLE}
