@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_dup, pii, quality_rules, repeats, token_count, warc
+from . import near_dup, pii, quality_rules, repeats, token_count, toxicity, warc
 
 QUERIES = {
     "op2_weak_supervision_pii": pii.op2_weak_supervision_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_repeated_phrase_automata": repeats.op5_repeated_phrase_automata,
     "op6_transducer_token_count": token_count.op6_transducer_token_count,
     "op7_arc_to_warc": warc.op7_arc_to_warc,
+    "op8_kneser_ney_toxicity": toxicity.op8_kneser_ney_toxicity,
 }
 ORACLES = {
     "op3_host_quality_rules": quality_rules.ORACLE,
