@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_dup, pii, quality_model, quality_rules, repeats, token_count, toxicity, warc
+from . import near_dup, pii, quality_model, quality_rules, repeats, sentencepieces, token_count, toxicity, warc
 
 QUERIES = {
     "op2_weak_supervision_pii": pii.op2_weak_supervision_pii,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_arc_to_warc": warc.op7_arc_to_warc,
     "op8_kneser_ney_toxicity": toxicity.op8_kneser_ney_toxicity,
     "op9_additive_quality": quality_model.op9_additive_quality,
+    "op10_sentencepiece_tokenizers": sentencepieces.op10_sentencepiece_tokenizers,
 }
 ORACLES = {
     "op3_host_quality_rules": quality_rules.ORACLE,
