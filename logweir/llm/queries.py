@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import near_dup, pii, quality_model, quality_rules, repeats, sentencepieces, token_count, toxicity, warc
+from . import decontaminate, near_dup, pii, quality_model, quality_rules, repeats, sentencepieces, token_count, toxicity, warc
 
 QUERIES = {
+    "op1_latent_decontamination": decontaminate.op1_latent_decontamination,
     "op2_weak_supervision_pii": pii.op2_weak_supervision_pii,
     "op3_host_quality_rules": quality_rules.op3_host_quality_rules,
     "op4_odd_sketch_near_dup": near_dup.op4_odd_sketch_near_dup,
