@@ -144,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     known = labels.select(F.col(f"`{id_col}`").alias("label_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("toxic IN (0, 1)").groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where(remainder("doc_id", held_modulus) != held_remainder)
-    train = rows.join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))).cast("int").alias("fold"))
+    # Labels grow with the corpus, so they are never broadcast: the plan is the same at every size.
+    train = rows.join(known.hint("merge"), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))).cast("int").alias("fold"))
     train = written(train, "toxictrain")
     stats = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n, positive = sum(stats.values()), stats.get(1, 0)
