@@ -112,7 +112,8 @@ class PieceModel:
 
         unknown = next(i for i, (_, _, t) in enumerate(self.pieces) if t == UNKNOWN)
         if self.kind == UNIGRAM:
-            model = models.Unigram([(p, s) for p, s, _ in self.pieces], unknown, self.byte_fallback)
+            # Pieces that aren't text lose against any that are, so their names inside a text stay text.
+            model = models.Unigram([(p, s if t == NORMAL else -1e9) for p, s, t in self.pieces], unknown, self.byte_fallback)
         else:
             model = models.BPE({p: i for i, (p, _, _) in enumerate(self.pieces)}, self.merges(), unk_token=self.pieces[unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
         t = Tokenizer(model)
@@ -143,7 +144,7 @@ class PieceEncoder:
         self.model = PieceModel.parse(data)
         self.tokenizer = self.model.build()
         self.normalise = self.tokenizer.normalizer.normalize_str
-        self.plain = not self.model.charsmap and not self.model.squeeze
+        self.plain = not self.model.charsmap and not self.model.squeeze and self.model.escape
         if self.model.words_apart():
             from tokenizers import normalizers
 
@@ -151,6 +152,7 @@ class PieceEncoder:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.words: dict[str, tuple[int, ...]] = {}
         self.odd: set[str] = set()
+        self.lost: set[str] = set()
         probes = list(PROBES)
         if self.encode(probes) != self.reference(probes):
             raise ValueError("the rebuilt tokenizer and sentencepiece disagree")
@@ -164,7 +166,7 @@ class PieceEncoder:
         if not self.model.words_apart():
             return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.words) > MOST_WORDS:
-            self.words, self.odd = {}, set()
+            self.words, self.odd, self.lost = {}, set(), set()
         split = [self._WORD.findall(self.normalised(t)) for t in texts]
         known = self.words
         fresh = list({w for ws in split for w in ws if w not in known})
@@ -173,15 +175,24 @@ class PieceEncoder:
             ids = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             known.update(zip(part, map(tuple, ids), strict=True))
             if self.plain:
-                expected = self.reference([w.replace(MARK, " ")[self.model.dummy_prefix :] for w in part])
-                self.odd.update(w for w, x, y in zip(part, ids, expected, strict=True) if x != y)
+                plain = [w.replace(MARK, " ")[self.model.dummy_prefix :] for w in part]
+                alone = [self.library.piece_to_id(MARK)]  # the library has no tokens for an empty text, but one for a last space
+                self.odd.update(w for w, x, y in zip(part, ids, self.reference(plain), strict=True) if x != (y if w != MARK else alone))
+                self.lost.update(w for w, x, y in zip(part, plain, self.decode(ids), strict=True) if x != y)
         return [[i for w in ws for i in known[w]] for ws in split]
 
-    def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
-        """Whether these encodings are sentencepiece's. Where words are encoded apart, each word was compared when it was first met."""
+    def verified(self, texts: list[str], ids: list[list[int]]) -> tuple[list[bool], list[bool]]:
+        """Whether these encodings are sentencepiece's, and whether decoding gives back the normalised texts.
+
+        Where words are encoded apart, both were seen for each word when it was first met: encoding and decoding work
+        word by word, so a text's words decide on the text.
+        """
         if self.model.words_apart() and self.plain:
-            return [not self.odd or self.odd.isdisjoint(self._WORD.findall(self.normalised(t))) for t in texts]
-        return [x == y for x, y in zip(ids, self.reference(texts), strict=True)]
+            clean = lambda bad, t: not bad or bad.isdisjoint(self._WORD.findall(self.normalised(t)))
+            return [clean(self.odd, t) for t in texts], [clean(self.lost, t) for t in texts]
+        prefix = int(self.model.dummy_prefix)
+        back = [d == self.normalised(t).replace(MARK, " ")[prefix:] for d, t in zip(self.decode(ids), texts, strict=True)]
+        return [x == y for x, y in zip(ids, self.reference(texts), strict=True)], back
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -262,9 +273,7 @@ def verify(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 part = texts[lo:hi]
                 ids = e.encode(part)
                 shas = [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in ids]
-                same = e.parity(part, ids)
-                prefix = int(e.model.dummy_prefix)
-                back = [d == e.normalised(t).replace(MARK, " ")[prefix:] for d, t in zip(e.decode(ids), part, strict=True)]
+                same, back = e.verified(part, ids)
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(lo, hi - lo), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "parity": pa.array(same, pa.bool_()), "round_trip": pa.array(back, pa.bool_())})
 
     kind = docs.schema[id_col].dataType.simpleString()
