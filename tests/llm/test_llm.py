@@ -229,7 +229,7 @@ def test_arc_versions():
         assert [p for _, p in found] == [b"one\n\nfiledesc://", b""] and [f["URL"] for f, _ in found] == ["http://a/", "http://b/"]
         assert ("Checksum" in found[0][0]) == (version == 2)
         with pytest.raises(ValueError, match="length"):
-            list(warc.parse_arc(made[:-5]))
+            list(warc.parse_arc(warc.arc_file("x.arc", version, [("http://a/", b"12345678")])[:-5]))
     record = warc.warc_record(found[0][0], b"one", "7", None)
     fields, block = next(warc.parse_warc(record + b"\r\n\r\n"))
     assert block == b"one" and fields["WARC-Date"] == "2024-01-01T00:00:00Z" and fields["WARC-Record-ID"] == warc.record_id("http://a/", "2024-01-01T00:00:00Z", hashlib.sha256(b"one").hexdigest(), "7")
