@@ -12,7 +12,7 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in links (a, b): the smallest id that can be reached.
 
     Each round takes the smallest label among the neighbours, then the label of that label, so that long chains halve;
-    a round's labels are a written table, and only their number of changes comes to the driver.
+    a round's labels are a written table, and only whether any changed comes to the driver.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = written(both.distinct(), "edges")
@@ -20,10 +20,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
         hooked = labels.join(near, F.col("id") == F.col("a")).select("id", "component", F.least("component", "m").alias("m"))
-        hooked = written(hooked, "hooked")
-        jumped = hooked.join(hooked.select(F.col("id").alias("m"), F.col("m").alias("far")), "m").select("id", "component", F.least("m", "far").alias("now"))
-        jumped = written(jumped, "labels")
-        changed = jumped.where("now <> component").limit(1).count()
-        labels = jumped.select("id", F.col("now").alias("component"))
-        if not changed:
+        if not hooked.where("m < component").limit(1).count():
             return labels
+        hooked = written(hooked.select("id", "m"), "hooked")
+        jumped = hooked.join(hooked.select(F.col("id").alias("m"), F.col("m").alias("far")), "m").select("id", F.least("m", "far").alias("component"))
+        labels = written(jumped, "labels")

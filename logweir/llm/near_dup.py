@@ -3,8 +3,9 @@
 128 MinHash samples of a text's five-word shingles give 32 band keys of four samples each, and fold into an odd sketch:
 a bitmap of 512 bits, each sample flipping one. The population count of two sketches' XOR estimates how many samples
 differ, precisely where they are few, so pairs in a bucket that can't reach the threshold fall out before full sets are
-compared. Texts with equal word sequences are one text first. Buckets are compared with a pivot, twice; only where
-members then still belong to different components is every such pair looked at, in blocks.
+compared. Texts with equal word sequences are one text first. Buckets are compared with a pivot; only where
+members then still belong to different components is every such pair looked at: by sketches in each bucket, which joins
+near ones to families, then by full sets in blocks of a family.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SHINGLE, SAMPLES, ROWS, BITS = 5, 128, 4, 512
 MOST_BITS = 108
 #: Members of a bucket that are compared with one another at once.
 BLOCK = 256
+#: Rows and bytes of text in a block of a family of near texts.
+BLOCK_ROWS, BLOCK_BYTES = 128, 512 << 10
 
 _U32 = np.uint32
 _rng = np.random.default_rng(20240229)
@@ -102,18 +105,61 @@ def differing(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
-def _blocks(group: pa.Table) -> pa.Table:
-    """Pairs of different components, of the two blocks that the group holds, whose sketches are near."""
+def _root(parent: dict[int, int], x: int) -> int:
+    while (up := parent.get(x, x)) != x:
+        parent[x] = x = parent.get(up, up)
+    return x
+
+
+def _forest(group: pa.Table) -> pa.Table:
+    """Of the pairs between the two blocks of a bucket whose components differ and whose sketches are near, as many as connect them."""
     ids, comp = group["doc_id"].to_numpy(), group["component"].to_numpy()
     side = group["side"].to_numpy()
     bits = np.stack(group["sketch"].to_pylist()).astype(np.int64).view(np.uint64) if len(group) else np.zeros((0, 8), np.uint64)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    a, b = [], []
+    parent: dict[int, int] = {}
+    out: list[tuple[int, int]] = []
     for i in left:
-        near = right[(np.bitwise_count(bits[right] ^ bits[i]).sum(1) <= MOST_BITS) & (comp[right] != comp[i])]
-        a.append(np.minimum(ids[i], ids[near]))
-        b.append(np.maximum(ids[i], ids[near]))
-    return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+        for k in right[(np.bitwise_count(bits[right] ^ bits[i]).sum(1) <= MOST_BITS) & (comp[right] != comp[i])].tolist():
+            x, y = _root(parent, int(i)), _root(parent, k)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((ids[i], ids[k]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _settle(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Links between the components of two blocks of a family, as many as join those that have any; by full sets."""
+        ids, comp, side = (group[c].to_numpy() for c in ("doc_id", "component", "side"))
+        sets = [s for _, _, w in chunks(group["text"], lower=True) for s in shingles(w)]
+        _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+        size = np.array([len(s) for s in sets])
+        head = np.cumsum(size) - size
+        flags = np.zeros(int(dense.max()) + 1, bool)
+        values, counts = np.unique(comp, return_counts=True)
+        most = values[np.argmax(counts)]
+        parent: dict[int, int] = {}
+        out: list[tuple[int, int]] = []
+        for mine, others in ((side != 1, side != 0), (side == 1, side == 0)):
+            other = np.flatnonzero(others)
+            if not len(other):
+                continue
+            flat = np.concatenate([dense[head[k] : head[k] + size[k]] for k in other])
+            starts = np.cumsum(size[other]) - size[other]
+            for i in np.flatnonzero(mine & (comp != most)):
+                own = dense[head[i] : head[i] + size[i]]
+                flags[own] = True
+                both = np.add.reduceat(flags[flat], starts, dtype=np.int64)
+                flags[own] = False
+                for k in other[(100 * both >= percent * (size[i] + size[other] - both)) & (comp[other] != comp[i])]:
+                    x, y = _root(parent, int(comp[i])), _root(parent, int(comp[k]))
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        out.append((ids[i], ids[k]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -131,36 +177,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = written(named.select("doc_id", "high", "low", "n_words").join(groups, ["high", "low", "n_words"]).where("doc_id > rep").select("doc_id", "rep").distinct(), "copies")
     reps = named.where("bands IS NOT NULL").join(copies.select("doc_id"), "doc_id", "left_anti")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = written(keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("key"), "keys")
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("key")
     members = written(keys.join(shared, "key").distinct(), "members")
     near = written(reps.select("doc_id", "sketch").join(members.select("doc_id").distinct(), "doc_id"), "sketches")
     members = written(members.join(near, "doc_id"), "buckets")
     held = written(docs.join(near.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), "heldtexts")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        a = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        b = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        full = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-        return written(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
-
     def labelled(links: DataFrame) -> DataFrame:
         return near.select("doc_id").join(components(links), F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
 
-    links = tried = None
-    for turn in range(2):
-        labels = written(labelled(links), "labels") if links is not None else near.select("doc_id", F.col("doc_id").alias("component"))
-        open_members = _unsettled(members, labels)
-        order = F.struct("doc_id", "sketch", "component") if turn == 0 else F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "sketch", "component")
-        pivots = written(open_members.groupBy("key").agg((F.min if turn == 0 else F.max)(order).alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.sketch").alias("pivot_sketch"), F.col("p.component").alias("pivot_component")), "pivots")
-        pairs = open_members.join(pivots, "key").where((F.col("component") != F.col("pivot_component")) & (differing("sketch", "pivot_sketch") <= MOST_BITS))
-        pairs = pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = confirm(pairs)
-        links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
+    pivots = members.groupBy("key").agg(F.min(F.struct("doc_id", "sketch")).alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.sketch").alias("pivot_sketch"))
+    pairs = members.join(pivots, "key").where((F.col("doc_id") > F.col("pivot")) & (differing("sketch", "pivot_sketch") <= MOST_BITS))
+    pairs = written(pairs.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    first = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    second = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    full = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
+    links = written(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
     labels = written(labelled(links), "labels")
-    rest = _all_pairs(_unsettled(members, labels)).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.union(confirm(written(rest, "pairs")))
+    families = components(_bucket_forest(_unsettled(members, labels)))
+    links = links.union(written(_settled(families, labels, held, percent), "links"))
     whole = written(components(links), "components")
     out = signs.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("of", F.coalesce("rep", "doc_id"))
     out = out.join(whole, F.col("of") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "of"))
@@ -168,21 +203,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with components, of the buckets that hold more than one component."""
+    """Members, with components and the number of blocks, of the buckets that hold more than one component."""
     now = written(members.join(labels, "doc_id"), "members")
-    open_keys = written(now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "keys")
-    return now.join(open_keys, "key")
+    keys = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return now.join(keys.where("lo < hi").select("key", "blocks"), "key")
 
 
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """Near pairs of different components in each bucket; a bucket is cut into blocks, and each two blocks are one group."""
-    members = written(members, "members")
-    sizes = written(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    cut = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+def _bucket_forest(members: DataFrame) -> DataFrame:
+    """Near pairs of different components that connect each bucket; a bucket is cut into blocks, and each two blocks are one group."""
+    cut = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     cut = cut.select("key", "doc_id", "sketch", "component", "block", other)
     grouped = cut.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "sketch", "component", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
-    return grouped.groupBy("key", "i", "j").applyInArrow(_blocks, "a long, b long")
+    return grouped.groupBy("key", "i", "j").applyInArrow(_forest, "a long, b long")
+
+
+def _settled(families: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between components of one family. Small components share blocks, a large one has blocks of its own, and each
+    two blocks but those of one component are compared in one group, so that no pair becomes a row unless it is a link."""
+    family = families.select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
+    members = written(family.join(labels, "doc_id").join(texts, "doc_id"), "family")
+    load = F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("text")) / BLOCK_BYTES).alias("load")
+    parts = members.groupBy("family", "component").agg(load)
+    small = parts.where("load <= 1").groupBy("family").agg(F.ceil(F.sum("load")).cast("long").alias("shared"))
+    parts = written(parts.join(small, "family", "left").select("family", "component", F.ceil("load").alias("own"), F.coalesce("shared", F.lit(1)).alias("shared")), "parts")
+    block = F.when(F.col("own") > 1, F.concat_ws("-", F.col("component"), F.pmod(F.xxhash64("doc_id"), F.col("own")))).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.col("shared")))).alias("block")
+    owner = F.when(F.col("own") > 1, F.col("component")).alias("owner")
+    members = written(members.join(parts, ["family", "component"]).select("family", "component", "doc_id", "text", block, owner), "blocks")
+    blocks = members.select("family", "block", "owner").distinct()
+    first = blocks.select("family", F.col("block").alias("i"), F.col("owner").alias("owner_i"))
+    second = blocks.select("family", F.col("block").alias("j"), F.col("owner").alias("owner_j"))
+    pairs = first.join(second, "family").where("i <= j AND coalesce(owner_i <> owner_j, true)").select("family", "i", "j")
+    sides = pairs.select("family", F.col("i").alias("block"), "i", "j", F.when(F.col("i") == F.col("j"), 2).otherwise(0).alias("side"))
+    sides = written(sides.union(pairs.where("i < j").select("family", F.col("j").alias("block"), "i", "j", F.lit(1).alias("side"))), "sides")
+    return members.join(sides, ["family", "block"]).select("family", "i", "j", "doc_id", "component", "text", "side").groupBy("family", "i", "j").applyInArrow(_settle(percent), "a long, b long")
 
 
 def op4_odd_sketch_near_dup(spark, sf_dir: str) -> DataFrame:
