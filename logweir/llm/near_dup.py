@@ -24,7 +24,7 @@ SHINGLE, SAMPLES, ROWS, BITS = 5, 128, 4, 512
 #: A pair at 0.75 has about 57 differing bits, with a deviation of 9; beyond this many it is not compared.
 MOST_BITS = 108
 #: Members of a bucket that are compared with one another at once.
-BLOCK = 256
+BLOCK = 2048
 #: Rows and bytes of text in a block of a family of near texts.
 BLOCK_ROWS, BLOCK_BYTES = 128, 512 << 10
 
@@ -117,14 +117,15 @@ def _forest(group: pa.Table) -> pa.Table:
     side = group["side"].to_numpy()
     bits = np.stack(group["sketch"].to_pylist()).astype(np.int64).view(np.uint64) if len(group) else np.zeros((0, 8), np.uint64)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    parent: dict[int, int] = {}
+    root = np.arange(len(ids))
     out: list[tuple[int, int]] = []
     for i in left:
-        for k in right[(np.bitwise_count(bits[right] ^ bits[i]).sum(1) <= MOST_BITS) & (comp[right] != comp[i])].tolist():
-            x, y = _root(parent, int(i)), _root(parent, k)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((ids[i], ids[k]))
+        near = right[(root[right] != root[i]) & (comp[right] != comp[i])]
+        near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(1) <= MOST_BITS]
+        while len(near):
+            out.append((ids[i], ids[near[0]]))
+            root[root == root[near[0]]] = root[i]
+            near = near[root[near] != root[i]]
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
