@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .common import Words, _bytes_powers, chunks, spans_hash, table, written
 
 BLOCK = 32
-DIMS, RANK = 1 << 15, 32
+DIMS, RANK = 1 << 15, 16
+#: Words in more than this share of all blocks have no weight.
+MOST_COMMON = 0.05
 #: Benchmark passages that are searched for at once; more take further passes.
 QUERIES = 256
 #: Words of a benchmark passage, and of its answer.
@@ -69,7 +71,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, _ = _blocks(w)
             block = np.repeat(np.arange(len(start) - 1), np.diff(start))
             n += len(start) - 1
-            df += np.bincount(np.unique(block * DIMS + _dims(word_hashes(w))) % DIMS, minlength=DIMS)
+            pairs = np.sort(block * DIMS + _dims(word_hashes(w)))
+            df += np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]] % DIMS, minlength=DIMS)
     used = np.flatnonzero(df)
     yield pa.RecordBatch.from_pydict({"dim": pa.array(np.append(used, -1), pa.int32()), "n": pa.array(np.append(df[used], n), pa.int64())})
 
@@ -78,19 +81,23 @@ def _gram(idf: np.ndarray, omega: np.ndarray):
     """Each task's part of the product of the passages' Gram matrix with omega, by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = omega * idf[:, None]
+        weight = idf.astype(np.float32)
+        loaded = (omega * idf[:, None]).astype(np.float32)
         total = np.zeros((DIMS, omega.shape[1]))
         for b in batches:
             for _, _, w in chunks(b.column(0), lower=True):
                 start, _ = _blocks(w)
-                if len(start) < 2:
-                    continue
                 dims = _dims(word_hashes(w))
-                y = np.add.reduceat(loaded[dims], start[:-1], axis=0)
-                y /= np.maximum(np.add.reduceat(idf[dims] ** 2, start[:-1]), 1e-9)[:, None]  # rows of unit length, on both sides
-                each = np.repeat(y, np.diff(start), axis=0)
-                for c in range(omega.shape[1]):
-                    total[:, c] += np.bincount(dims, each[:, c], DIMS)
+                block = np.repeat(np.arange(len(start) - 1), np.diff(start))
+                used = weight[dims] > 0
+                dims, block = dims[used], block[used]
+                for lo in range(0, len(dims), 1 << 16):
+                    d, _, heads, of = _runs(dims[lo : lo + (1 << 16)], block[lo : lo + (1 << 16)])
+                    y = np.add.reduceat(loaded[d], heads, axis=0)
+                    y /= np.add.reduceat(weight[d] ** 2, heads)[:, None]  # rows of unit length, on both sides
+                    each = y[of]
+                    for c in range(omega.shape[1]):
+                        total[:, c] += np.bincount(d, each[:, c], DIMS)
         total *= idf[:, None]
         used = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_pydict({"dim": pa.array(used, pa.int32())} | {f"z{c}": pa.array(total[used, c].astype(np.float32)) for c in range(omega.shape[1])})
@@ -98,6 +105,13 @@ def _gram(idf: np.ndarray, omega: np.ndarray):
     return run
 
 
+def _runs(dims: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """dims, the blocks that have any, where each starts, and the run of each of dims."""
+    fresh = np.append(True, block[1:] != block[:-1])[: len(block)]
+    heads = np.flatnonzero(fresh)
+    return dims, block[heads], heads, np.cumsum(fresh) - 1
+
+
 class Items:
     """Benchmark passages: ids, word hashes and their answer's; vectors and loadings once a basis is known."""
 
@@ -134,6 +148,7 @@ def _search(items: Items, lo: int, hi: int, idf: np.ndarray, corpus: np.ndarray)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squares = idf**2
+        wanted = np.abs(loadings).max(1) > 1e-6  # the queries lie in the space, so other words have no part in a product
         for b in batches:
             ids = b.column(0).to_pylist()
             out: list[tuple] = []
@@ -149,9 +164,12 @@ def _search(items: Items, lo: int, hi: int, idf: np.ndarray, corpus: np.ndarray)
                     to = min(n, at + step)
                     more = min(n, to + 1)
                     words = dims[start[at] : start[more]]
-                    heads = start[at:more] - start[at]
-                    dots = np.add.reduceat(loadings[words], heads, axis=0)
-                    size = np.add.reduceat(squares[words], heads)
+                    size = np.add.reduceat(squares[words], start[at:more] - start[at])
+                    known = wanted[words]
+                    dots = np.zeros((more - at, hi - lo), np.float32)
+                    if known.any():
+                        d, of, heads, _ = _runs(words[known], np.repeat(np.arange(more - at), np.diff(start[at : more + 1]))[known])
+                        dots[of] = np.add.reduceat(loadings[d], heads, axis=0)
                     joined, length = dots[: to - at].copy(), size[: to - at].copy()
                     same = doc[at + 1 : more] == doc[at : more - 1]
                     joined[: len(same)][same] += dots[1:][same]
@@ -196,7 +214,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             df[dim] = n
     if not items.ids or not total:
         return docs.sparkSession.createDataFrame([], schema)
-    idf = np.log1p(total / (1 + df))
+    idf = np.where(df <= MOST_COMMON * total + 20, np.log1p(total / (1 + df)), 0.0)
     omega = np.random.default_rng(7).standard_normal((DIMS, RANK))
     columns = [f"z{c}" for c in range(RANK)]
     parts = texts.mapInArrow(_gram(idf, omega), "dim int, " + ", ".join(f"{c} float" for c in columns))
