@@ -20,8 +20,8 @@ from .common import Words, _bytes_powers, chunks, spans_hash, table, written
 
 BLOCK = 32
 DIMS, RANK = 1 << 15, 16
-#: Words in more than this share of all blocks have no weight.
-MOST_COMMON = 0.05
+#: Blocks that are multiplied at once.
+STEP = 64
 #: Benchmark passages that are searched for at once; more take further passes.
 QUERIES = 256
 #: Words of a benchmark passage, and of its answer.
@@ -81,23 +81,18 @@ def _gram(idf: np.ndarray, omega: np.ndarray):
     """Each task's part of the product of the passages' Gram matrix with omega, by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = idf.astype(np.float32)
+        squares = (idf**2).astype(np.float32)
         loaded = (omega * idf[:, None]).astype(np.float32)
         total = np.zeros((DIMS, omega.shape[1]))
         for b in batches:
             for _, _, w in chunks(b.column(0), lower=True):
-                start, _ = _blocks(w)
+                start, doc = _blocks(w)
                 dims = _dims(word_hashes(w))
-                block = np.repeat(np.arange(len(start) - 1), np.diff(start))
-                used = weight[dims] > 0
-                dims, block = dims[used], block[used]
-                for lo in range(0, len(dims), 1 << 16):
-                    d, _, heads, of = _runs(dims[lo : lo + (1 << 16)], block[lo : lo + (1 << 16)])
-                    y = np.add.reduceat(loaded[d], heads, axis=0)
-                    y /= np.add.reduceat(weight[d] ** 2, heads)[:, None]  # rows of unit length, on both sides
-                    each = y[of]
-                    for c in range(omega.shape[1]):
-                        total[:, c] += np.bincount(d, each[:, c], DIMS)
+                for at in range(0, len(doc), STEP):
+                    used, x = _matrix(dims, start[at : at + STEP + 1])
+                    y = x @ loaded[used]
+                    y /= (x @ squares[used])[:, None]  # rows of unit length, on both sides
+                    total[used] += x.T @ y
         total *= idf[:, None]
         used = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_pydict({"dim": pa.array(used, pa.int32())} | {f"z{c}": pa.array(total[used, c].astype(np.float32)) for c in range(omega.shape[1])})
@@ -105,11 +100,15 @@ def _gram(idf: np.ndarray, omega: np.ndarray):
     return run
 
 
-def _runs(dims: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """dims, the blocks that have any, where each starts, and the run of each of dims."""
-    fresh = np.append(True, block[1:] != block[:-1])[: len(block)]
-    heads = np.flatnonzero(fresh)
-    return dims, block[heads], heads, np.cumsum(fresh) - 1
+def _matrix(dims: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The dimensions that some blocks use, in order, and how often each block has each of them; start: the blocks' first words, with the end."""
+    words = dims[start[0] : start[-1]]
+    seen = np.zeros(DIMS, bool)
+    seen[words] = True
+    used, place = np.flatnonzero(seen), np.cumsum(seen) - 1
+    n = len(start) - 1
+    cell = np.repeat(np.arange(n), np.diff(start)) * len(used) + place[words]
+    return used, np.bincount(cell, minlength=n * len(used)).reshape(n, len(used)).astype(np.float32)
 
 
 class Items:
@@ -147,8 +146,7 @@ def _search(items: Items, lo: int, hi: int, idf: np.ndarray, corpus: np.ndarray)
     loadings *= idf[:, None].astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squares = idf**2
-        wanted = np.abs(loadings).max(1) > 1e-6  # the queries lie in the space, so other words have no part in a product
+        squares = (idf**2).astype(np.float32)
         for b in batches:
             ids = b.column(0).to_pylist()
             out: list[tuple] = []
@@ -159,17 +157,11 @@ def _search(items: Items, lo: int, hi: int, idf: np.ndarray, corpus: np.ndarray)
                     continue
                 hashes = word_hashes(w)
                 dims = _dims(hashes)
-                step = 512
-                for at in range(0, n, step):  # each block with the next one of its text
-                    to = min(n, at + step)
+                for at in range(0, n, STEP):  # each block with the next one of its text
+                    to = min(n, at + STEP)
                     more = min(n, to + 1)
-                    words = dims[start[at] : start[more]]
-                    size = np.add.reduceat(squares[words], start[at:more] - start[at])
-                    known = wanted[words]
-                    dots = np.zeros((more - at, hi - lo), np.float32)
-                    if known.any():
-                        d, of, heads, _ = _runs(words[known], np.repeat(np.arange(more - at), np.diff(start[at : more + 1]))[known])
-                        dots[of] = np.add.reduceat(loadings[d], heads, axis=0)
+                    used, x = _matrix(dims, start[at : more + 1])
+                    dots, size = x @ loadings[used], x @ squares[used]
                     joined, length = dots[: to - at].copy(), size[: to - at].copy()
                     same = doc[at + 1 : more] == doc[at : more - 1]
                     joined[: len(same)][same] += dots[1:][same]
@@ -214,7 +206,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             df[dim] = n
     if not items.ids or not total:
         return docs.sparkSession.createDataFrame([], schema)
-    idf = np.where(df <= MOST_COMMON * total + 20, np.log1p(total / (1 + df)), 0.0)
+    idf = np.log1p(total / (1 + df))
     omega = np.random.default_rng(7).standard_normal((DIMS, RANK))
     columns = [f"z{c}" for c in range(RANK)]
     parts = texts.mapInArrow(_gram(idf, omega), "dim int, " + ", ".join(f"{c} float" for c in columns))

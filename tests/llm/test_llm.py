@@ -324,6 +324,21 @@ def test_paraphrases(spark, docs):
     assert exact <= got and len({g for g in got - exact if g[0] < 1_000_000}) <= len(exact)
 
 
+def test_widespread_items(spark):
+    """An item in a third of short documents, and one of words that all texts have, are found in each."""
+    rng = np.random.default_rng(4)
+    item = " ".join(f"leak{i}" for i in range(40))
+    frequent = " ".join(f"common{i}" for i in rng.permutation(60)[:40])
+    rows = []
+    for i in range(600):
+        own = [f"common{k}" for k in rng.permutation(60)] + [f"own{i}x{k}" for k in range(20)]
+        rows.append((i, " ".join(own + ([item] if i % 3 == 0 else []) + ([frequent] if i % 50 == 1 else []))))
+    bench = spark.createDataFrame([(1, item), (2, frequent)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {(i, 1) for i in range(0, 600, 3)} | {(i, 2) for i in range(1, 600, 50)} <= got
+    assert {g for g in got if g[1] == 1} == {(i, 1) for i in range(0, 600, 3)}
+
+
 def test_searching_in_passes(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
