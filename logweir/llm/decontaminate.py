@@ -1,10 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into passages of 64 words, 32 apart, as TF-IDF vectors over hashed words. A distributed randomised SVD
-(document frequencies, then one product with the Gram matrix of all passages, each summed over tasks) gives the corpus'
-leading directions; with those of the benchmark's own passages they span the latent space, in which every passage is
-compared with every benchmark passage by cosine. Candidates are confirmed by the longest common subsequence of words
-with the item and with its answer, its last words, so paraphrases that keep most words in order are found too.
+(document frequencies, then products with the Gram matrix of all passages, each summed over tasks: a random one with
+OVERSAMPLE more columns than RANK, and a power step) gives the corpus' own leading directions. Passages and benchmark
+passages are compared by cosine of their projections on these alone. Latent space holds few of the rare words, so what
+shares enough weight of the full vectors is a candidate as well. Candidates are confirmed by the longest common
+subsequence of words with the item and with its answer, its last words, so paraphrases that keep most words in order are
+found too, also where it is the rare words that changed.
 """
 
 from __future__ import annotations
@@ -19,14 +21,18 @@ from pyspark.sql import functions as F
 from .common import Words, _bytes_powers, chunks, spans_hash, table, written
 
 BLOCK = 32
-DIMS, RANK = 1 << 15, 16
+DIMS, RANK, OVERSAMPLE, POWER_STEPS = 1 << 15, 48, 16, 1
+#: Dimensions whose rows of a product are summed as one value.
+SLICE = 64
 #: Blocks that are multiplied at once.
 STEP = 64
 #: Benchmark passages that are searched for at once; more take further passes.
 QUERIES = 256
 #: Words of a benchmark passage, and of its answer.
 ITEM_WORDS, ANSWER_WORDS = 64, 8
-#: Share of a benchmark passage's weight that a candidate's latent product has, least cosine, and the shares of words in order that confirm it.
+#: Least latent cosine of a candidate.
+LATENT = 0.85
+#: Of other candidates: share of a benchmark passage's weight in their product, least cosine. Of both: the shares of words in order that confirm them.
 CONTAINED, COSINE, LCS, ANSWER = 0.45, 0.2, 0.6, 0.5
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in ".,;:!?"]] = True
@@ -77,6 +83,46 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"dim": pa.array(np.append(used, -1), pa.int32()), "n": pa.array(np.append(df[used], n), pa.int64())})
 
 
+def _slices(total: np.ndarray) -> pa.RecordBatch:
+    """The slices of a product that have any values, as bytes."""
+    parts = total.astype(np.float32).reshape(DIMS // SLICE, -1)
+    used = np.flatnonzero(parts.any(1))
+    return pa.RecordBatch.from_pydict({"slice": pa.array(used, pa.int32()), "part": pa.array([parts[k].tobytes() for k in used], pa.binary())})
+
+
+def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, part in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            values = np.frombuffer(part.as_buffer(), np.float32)
+            total[k] = total[k] + values if k in total else values.astype(float)
+    yield pa.RecordBatch.from_pydict({"slice": pa.array(list(total), pa.int32()), "part": pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())})
+
+
+def directions(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """The leading right singular directions of the texts' passages, RANK columns at most: the passages alone decide them."""
+
+    # A task's product is dense whatever its share of the texts, so a few tasks for each core make one each.
+    held = texts.coalesce(3 * texts.sparkSession.sparkContext.defaultParallelism)
+
+    def product(omega: np.ndarray) -> np.ndarray:
+        kind = "slice int, part binary"
+        z = np.zeros((DIMS // SLICE, SLICE * omega.shape[1]))
+        for row in held.mapInArrow(_gram(idf, omega), kind).repartition(F.col("slice")).mapInArrow(_sum_slices, kind).toArrow().to_pylist():
+            z[row["slice"]] = np.frombuffer(row["part"], np.float32)
+        return z.reshape(DIMS, -1)
+
+    basis, _ = np.linalg.qr(product(np.random.default_rng(7).standard_normal((DIMS, RANK + OVERSAMPLE))))
+    for step in range(POWER_STEPS):
+        z = product(basis)
+        if step < POWER_STEPS - 1:
+            basis, _ = np.linalg.qr(z)
+    inner = basis.T @ z
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    best = np.argsort(-values)[:RANK]
+    return basis @ turn[:, best[values[best] > 1e-6 * values[best[0]]]]
+
+
 def _gram(idf: np.ndarray, omega: np.ndarray):
     """Each task's part of the product of the passages' Gram matrix with omega, by row."""
 
@@ -94,8 +140,7 @@ def _gram(idf: np.ndarray, omega: np.ndarray):
                     y /= (x @ squares[used])[:, None]  # rows of unit length, on both sides
                     total[used] += x.T @ y
         total *= idf[:, None]
-        used = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_pydict({"dim": pa.array(used, pa.int32())} | {f"z{c}": pa.array(total[used, c].astype(np.float32)) for c in range(omega.shape[1])})
+        yield _slices(total)
 
     return run
 
@@ -141,9 +186,9 @@ def _search(items: Items, lo: int, hi: int, idf: np.ndarray, corpus: np.ndarray)
     """Hits of the benchmark passages lo to hi; corpus: the corpus' leading directions."""
     q = items.vectors(idf, lo, hi)
     norms = np.maximum(np.linalg.norm(q, axis=1), 1e-9)
-    basis, _ = np.linalg.qr(np.hstack([(q / norms[:, None]).T, corpus]).astype(np.float64))
-    loadings = (basis @ (basis.T @ q.T)).astype(np.float32)  # latent queries, by dimension
-    loadings *= idf[:, None].astype(np.float32)
+    latent = q @ corpus
+    latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).T.astype(np.float32)
+    loaded = (np.hstack([q.T, corpus]) * idf[:, None]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squares = (idf**2).astype(np.float32)
@@ -161,21 +206,27 @@ def _search(items: Items, lo: int, hi: int, idf: np.ndarray, corpus: np.ndarray)
                     to = min(n, at + STEP)
                     more = min(n, to + 1)
                     used, x = _matrix(dims, start[at : more + 1])
-                    dots, size = x @ loadings[used], x @ squares[used]
+                    dots, size = x @ loaded[used], x @ squares[used]
                     joined, length = dots[: to - at].copy(), size[: to - at].copy()
                     same = doc[at + 1 : more] == doc[at : more - 1]
                     joined[: len(same)][same] += dots[1:][same]
                     length[: len(same)][same] += size[1:][same]
+                    projected = joined[:, hi - lo :]
+                    joined = joined[:, : hi - lo]
                     cosine = joined / (np.sqrt(np.maximum(length, 1e-9))[:, None] * norms)
-                    for i, k in zip(*np.nonzero((joined >= CONTAINED * norms**2) & (cosine >= COSINE)), strict=True):
-                        d = doc[at + i]
-                        f = max(w.first[d], start[at + i] - BLOCK)
-                        t = min(w.first[d + 1], start[at + i] + 3 * BLOCK)
-                        near = hashes[f:t].tolist()
+                    near_by = projected @ latent / np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-9)
+                    last, near, known = -1, [], frozenset()
+                    for i, k in zip(*np.nonzero((near_by >= LATENT) | (joined >= CONTAINED * norms**2) & (cosine >= COSINE)), strict=True):
+                        if i != last:
+                            last, d = i, doc[at + i]
+                            near = hashes[max(w.first[d], start[at + i] - BLOCK) : min(w.first[d + 1], start[at + i] + 3 * BLOCK)].tolist()
+                            known = frozenset(near)
                         words_of, answer = items.words[lo + k], items.answers[lo + k]
+                        if sum(map(known.__contains__, words_of)) < LCS * len(words_of):
+                            continue  # too few words in any order
                         share, ends = lcs(words_of, near) / len(words_of), lcs(answer, near) / len(answer)
                         if share >= LCS and ends >= ANSWER:
-                            out.append((ids[first + d], items.ids[lo + k], float(cosine[i, k]), share, ends))
+                            out.append((ids[first + d], items.ids[lo + k], float(near_by[i, k]), share, ends))
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = (b.column(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
@@ -186,8 +237,8 @@ def _search(items: Items, lo: int, hi: int, idf: np.ndarray, corpus: np.ndarray)
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item that it holds: doc_id, item_id and the best cosine, lcs_share and answer_share.
 
-    An item counts as held when some passage has CONTAINED of its weight in the latent space, LCS of its words in order
-    and ANSWER of its answer's. Items longer than ITEM_WORDS are looked for in parts. Null and empty texts and items hold
+    An item counts as held when some passage has a latent cosine of LATENT with it, or CONTAINED of its weight, and LCS of
+    its words in order and ANSWER of its answer's; cosine is the latent one. Items longer than ITEM_WORDS are looked for in parts. Null and empty texts and items hold
     nothing; rows that repeat an id count once; an empty table on either side gives an empty table; other columns are
     ignored. The benchmark comes to the driver, and is searched for in passes of QUERIES.
     """
@@ -207,15 +258,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     if not items.ids or not total:
         return docs.sparkSession.createDataFrame([], schema)
     idf = np.log1p(total / (1 + df))
-    omega = np.random.default_rng(7).standard_normal((DIMS, RANK))
-    columns = [f"z{c}" for c in range(RANK)]
-    parts = texts.mapInArrow(_gram(idf, omega), "dim int, " + ", ".join(f"{c} float" for c in columns))
-    summed = parts.groupBy("dim").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
-    z = np.zeros((DIMS, RANK))
-    if len(summed):
-        z[summed["dim"].to_numpy()] = np.stack([summed[c].to_numpy() for c in columns], 1)
-    corpus, spectrum, _ = np.linalg.svd(z, full_matrices=False)
-    corpus = corpus[:, spectrum > 1e-6 * max(spectrum[0], 1e-30)]
+    corpus = directions(texts, idf)
     found = None
     for lo in range(0, len(items.ids), QUERIES):
         part = docs.mapInArrow(_search(items, lo, min(lo + QUERIES, len(items.ids)), idf, corpus), schema)

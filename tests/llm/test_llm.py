@@ -339,6 +339,32 @@ def test_widespread_items(spark):
     assert {g for g in got if g[1] == 1} == {(i, 1) for i in range(0, 600, 3)}
 
 
+def _topics(rng, n):
+    """Texts of one topic each, whose words are common in it, and rare words; items are such texts that no row holds."""
+    return [[f"t{t}x{k}" for k in rng.integers(0, 25, 40)] + [f"rare{rng.integers(1 << 40)}" for _ in range(20)] for t in rng.integers(0, 8, n)]
+
+
+def test_rare_words_changed(spark):
+    """Paraphrases whose rare words are all changed have little of the weight: only the latent space finds them."""
+    rng = np.random.default_rng(6)
+    items = [[w for pair in zip(x[:20], x[20:40], x[40:], strict=True) for w in pair] for x in _topics(rng, 12)]
+    rows = [(i, " ".join(rng.permutation(x))) for i, x in enumerate(_topics(rng, 800))]
+    rows += [(1000 + i, " ".join(w if not w.startswith("rare") else f"new{i}x{k}" for k, w in enumerate(x))) for i, x in enumerate(items)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1000 + i, i) for i in range(len(items))}
+
+
+def test_directions_are_those_of_the_passages(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(x[:32]) for x in _topics(rng, 500)]
+    idf = np.ones(decontaminate.DIMS)
+    v = decontaminate.directions(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), idf)
+    a = decontaminate.Items([(i, t) for i, t in enumerate(texts)]).vectors(idf, 0, len(texts)) / np.sqrt(32)
+    exact = np.linalg.svd(a, full_matrices=False)[2][:8]
+    assert v.shape == (decontaminate.DIMS, decontaminate.RANK) and (np.linalg.norm(exact @ v, axis=1) > 0.99).all()
+
+
 def test_searching_in_passes(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
