@@ -194,6 +194,15 @@ class PieceEncoder:
         back = [d == self.normalised(t).replace(MARK, " ")[prefix:] for d, t in zip(self.decode(ids), texts, strict=True)]
         return [x == y for x, y in zip(ids, self.reference(texts), strict=True)], back
 
+    def agreed(self, texts: list[str]) -> list[list[int]]:
+        """The encodings, with the library's own for texts on which the two disagree."""
+        ids = self.encode(texts)
+        same, _ = self.verified(texts, ids)
+        other = [i for i, x in enumerate(same) if not x]
+        for i, x in zip(other, self.reference([texts[i] for i in other]) if other else [], strict=True):
+            ids[i] = x
+        return ids
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
@@ -226,7 +235,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """All columns of docs but the text's, and token_ids and n_tokens.
 
     path: the model's file, which every executor has. Null texts count as empty and have no tokens; no begin or end
-    tokens; columns of docs named token_ids or n_tokens give way to the new ones.
+    tokens; columns of docs named token_ids or n_tokens give way to the new ones. Where the rebuilt tokenizer and the
+    sentencepiece library disagree, the ids are the library's.
     """
     rest = [c for c in docs.columns if c not in (text_col, "token_ids", "n_tokens")]
     schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long")
@@ -236,7 +246,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for b in batches:
             texts = [t or "" for t in b.column(len(rest)).to_pylist()]
             for lo, hi in _groups(texts):
-                ids = e.encode(texts[lo:hi])
+                ids = e.agreed(texts[lo:hi])
                 columns = [c.slice(lo, hi - lo) for c in b.columns[: len(rest)]] + [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

@@ -266,6 +266,29 @@ def test_pieces(spark, odd, docs):
     assert {tuple(r) for r in back.select("doc_id", "text").collect()} == set(texts_of(docs))
 
 
+def test_pieces_of_whole_texts():
+    """Ids of whole texts are the library's: with repeated markers and long runs, and where the rebuilt tokenizer is wrong."""
+    e = sentencepieces.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(12)
+    parts = np.array(["▁", "▁▁", " ", "   ", "a", "the", "word", "\n", "é", "日本", "<s>", "</s>", "<0x41>", "=" * 70, "a" * 300, "-", "1234567", "\U0001f600"])
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(2000)] + [" " * 5000, "▁" * 3000, "x" * 20_000, "ab " * 5000]
+    assert e.agreed(texts) == e.reference(texts)
+
+    class Wrong:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+        def encode_batch_fast(self, texts, **options):
+            return self.tokenizer.encode_batch_fast([t.replace("strange", "strong") for t in texts], **options)
+
+    e.tokenizer = Wrong(e.tokenizer)
+    texts = ["a strange word", "a word", "strange", ""]
+    assert e.encode(texts) != e.reference(texts) and e.agreed(texts) == e.reference(texts)
+
+
 def _message(*fields):
     """A protobuf message of (number, value) with integers, floats or bytes."""
     import struct
