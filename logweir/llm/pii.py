@@ -33,12 +33,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
+# What follows the local part of a spelled-out address.
+_AT = re.compile(r" ?[\[(] ?[Aa][Tt] ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(] ?[Dd][Oo][Tt] ?[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,4}")
 # Candidates beyond the base: kind, a literal that must be there, the pattern, the group that is the span.
 _WIDE = (
-    ("email", "(", re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?[\[(] ?[Aa][Tt] ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(] ?[Dd][Oo][Tt] ?[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,4}"), 0),
-    ("email", "[", re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?[\[(] ?[Aa][Tt] ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(] ?[Dd][Oo][Tt] ?[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,4}"), 0),
-    ("secret", "=", re.compile(r"\b([A-Za-z_-]{2,24}) ?= ?[\"']?([^\s\"'=]{8,256})[\"']?"), 2),
-    ("secret", ":", re.compile(r"\b([A-Za-z_-]{2,24}) ?: ?[\"']?([^\s\"':]{8,256})[\"']?"), 2),
+    ("secret", "=", re.compile(r"\b([A-Za-z_-]{2,24}) ?= ?[\"']?([^\s\"'=]{8,}+)[\"']?"), 2),
+    ("secret", ":", re.compile(r"\b([A-Za-z_-]{2,24}) ?: ?[\"']?([^\s\"':]{8,}+)[\"']?"), 2),
 )
 _WIDE_DIGITS = (
     ("phone", re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"), 0),
@@ -108,6 +108,15 @@ def base_spans(text: str) -> list[Span]:
 def candidates(text: str, base: list[Span]) -> list[Span]:
     """Wider candidates that overlap no base span, leftmost first; of overlapping ones the earlier, then the longer."""
     wide: list[Span] = []
+    if "(" in text or "[" in text:
+        free = 0
+        for m in _AT.finditer(text):  # the local part is the whole run before
+            start = m.start()
+            while start > free and text[start - 1] in _LOCAL:
+                start -= 1
+            if start < m.start():
+                wide.append((start, m.end(), "email"))
+                free = m.end()
     for kind, literal, pattern, group in _WIDE:
         if literal in text:
             wide += [(m.start(group), m.end(group), kind) for m in pattern.finditer(text) if kind != "secret" or _looks_keyed(m)]

@@ -101,6 +101,14 @@ def test_pii_long_runs_take_linear_time():
         pii.candidates(t, pii.base_spans(t))
 
 
+def test_pii_takes_whole_runs():
+    key, local = "aB3" * 400, "first.last" * 20
+    t = f"token: {key}.x, secret='{key}' mail {local} (at) example (dot) org"
+    assert [t[s:e] for s, e, _ in pii.candidates(t, [])] == [f"{key}.x,", key, f"{local} (at) example (dot) org"]
+    for t in ("token=" + "a1" * 100_000, "a-" * 100_000 + "=", "token:" * 50_000, "a" * 200_000 + " (at) ", "a(at)b.c" * 50_000, "=aaaaaaa" * 30_000):
+        pii.candidates(t, [])
+
+
 def brute_components(rows, percent=75):
     sets = {}
     for i, t in rows:
