@@ -51,6 +51,7 @@ _TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\. ([A-Z][a-z]{1,30}(?: [A-Z][a-z]
 TOP_DOMAINS = frozenset("com org net edu gov io co info biz uk de fr es it nl eu us ca au jp cn in br ru ch se no pl".split())
 SECRET_KEYS = frozenset("password passwd pwd pass token secret apikey api_key api-key key access_key auth credential credentials bearer".split())
 FIRST_NAMES = frozenset("James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Maria Anna Peter Paul Hans Pierre Juan Carlos".split())
+_LISTED = re.compile(rf"\b(?:{'|'.join(sorted(FIRST_NAMES))}) [A-Z](?:[^\W\d_]|['-](?=[^\W\d_]))++")
 COUNTRIES = frozenset("AT BE CH CZ DE DK ES FI FR GB GR HU IE IT LU NL NO PL PT RO SE".split())
 CONTEXT = {
     "email": frozenset("email e-mail mail contact write reach".split()),
@@ -125,6 +126,8 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
             wide += [(m.start(group), m.end(group), kind) for m in pattern.finditer(text)]
     if ". " in text:
         wide += [(m.start(1), m.end(1), "person") for m in _TITLED.finditer(text)]
+    if " " in text:
+        wide += [(m.start(), m.end(), "person") for m in _LISTED.finditer(text)]
     if not wide:
         return []
     out, free, taken = [], 0, [(s, e) for s, e, _ in base]

@@ -109,6 +109,14 @@ def test_pii_takes_whole_runs():
         pii.candidates(t, [])
 
 
+def test_pii_listed_names(spark):
+    t = "contact Mary Smith or John O'Brien-Jones, then Dr. Anna Berg; Mary said Johnson Smith"
+    assert [t[s:e] for s, e, k in pii.candidates(t, []) if k == "person"] == ["Mary Smith", "John O'Brien-Jones", "Anna Berg"]
+    d = spark.createDataFrame([(i, t) for i in range(5)] + [(9, "Mary said so")], "doc_id long, text string")
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(d, pii.fit(d)).collect()}
+    assert masked[0] == "contact [PERSON] or [PERSON], then Dr. [PERSON]; Mary said Johnson Smith" and masked[9] == "Mary said so"
+
+
 def brute_components(rows, percent=75):
     sets = {}
     for i, t in rows:
