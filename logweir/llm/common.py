@@ -5,20 +5,21 @@ A word is a maximal run of bytes outside ``\\x20`` and ``\\x09-\\x0D``; null tex
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Bytes of text that are hashed at once; longer texts form a chunk of their own.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that are looked at as one chunk; a longer text is a chunk of its own.
+CHUNK_BYTES = 1 << 20
+#: Bytes that are hashed at once, whatever the chunk.
+SLICE_BYTES = 128 << 10
 
 _U = np.uint64
-_BASE, _WBASE, _WBASE2 = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F
-_MASK = (1 << 64) - 1
+_GOLD = _U(0x9E3779B97F4A7C15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's. ValueError if neither is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logweir-"))
-        found = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found
 
 
@@ -42,6 +42,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for file in df.inputFiles()[:1]:
+            folder = hadoop.Path(file).getParent()
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs, all columns, without the rows whose id is in ids, a table of one column; rows without an id stay."""
+    name = fresh_name(docs, "gone_id")
+    return docs.join(ids.toDF(name), F.col(f"`{id_col}`") == F.col(f"`{name}`"), "left_anti")
+
+
 def texts(batch: pa.RecordBatch, col: int | str) -> list[str]:
     """The column's texts, nulls as empty ones."""
     return [x or "" for x in batch.column(col).to_pylist()]
@@ -54,38 +78,72 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
+def _places(start: int, n: int) -> np.ndarray:
+    """A multiplier for each place in a word: pseudo-random, so that no pattern of letters cancels out."""
+    return mix(np.arange(start + 1, start + n + 1, dtype=_U) * _GOLD) | _U(1)
+
 
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, _U)
+def _letters(data: np.ndarray) -> np.ndarray:
+    """A pseudo-random number for each letter."""
+    return mix((data.astype(_U) + _U(1)) * _U(0xD1342543DE82EF95))
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                a = np.full(size, base, _U)
-                a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
-        return self.up[:n], self.down[:n]
+
+_LETTER = _letters(np.arange(256))
+_PLACE = _places(0, SLICE_BYTES)
+
+
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end], bytes or code points, for each of the spans, which follow one another without overlap.
+
+    The sum over its letters of a number for the letter times a number for its place. Memory is bounded by SLICE_BYTES,
+    whatever the length of the texts and words.
+    """
+    out = np.zeros(len(start), _U)
+    letters = _LETTER.__getitem__ if data.dtype == np.uint8 else _letters
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE_BYTES, "right")))
+        lo, hi = int(start[i]), int(end[j - 1])
+        if hi - lo > SLICE_BYTES:
+            for at in range(lo, hi, SLICE_BYTES):
+                part = data[at : min(hi, at + SLICE_BYTES)]
+                out[i] += (letters(part) * _places(at - lo, len(part))).sum()
+        else:
+            s, e = start[i:j] - lo, end[i:j] - lo
+            place = np.arange(hi - lo, dtype=np.int32)
+            place -= np.repeat(s.astype(np.int32), np.diff(s, append=hi - lo))
+            sums = np.zeros(hi - lo + 1, _U)
+            values = letters(data[lo:hi])
+            values *= _PLACE[place]
+            np.cumsum(values, out=sums[1:])
+            out[i:j] = sums[e] - sums[s]
+        i = j
+    return mix(out + (end - start).astype(_U) * _GOLD)
+
+
+def windows_hash(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each width hashes in a row, put together from windows whose widths are powers of two."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return hashes[:0]
+    out, done, size, part = None, 0, 1, hashes
+    while True:
+        if width & size:
+            piece = part[done : done + n]
+            out = piece if out is None else mix(out * _U(0xC2B2AE3D27D4EB4F) + piece)
+            done += size
+        if 2 * size > width:
+            return mix(out ^ _U(width))
+        part = mix(part[:-size] * _U(0xD1342543DE82EF95) + part[size:])
+        size *= 2
 
 
-_bytes_powers, _word_powers, _word_powers2 = _Powers(_BASE), _Powers(_WBASE), _Powers(_WBASE2)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, powers: _Powers) -> np.ndarray:
-    """A hash of values[start:end] for each pair, whatever the place."""
-    up, down = powers.get(len(values) + 1)
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
-
-
 class Words:
     """Word hashes of a chunk of texts.
 
@@ -107,7 +165,7 @@ class Words:
         ends[tails[inside[tails]] - 1] = True
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.hashes = spans_hash(data.astype(_U) + _U(1), self.start, self.end, _bytes_powers)
+        self.hashes = spans_hash(data, self.start, self.end)
 
     @property
     def counts(self) -> np.ndarray:
@@ -124,9 +182,16 @@ class Words:
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.first[doc]
         return at, doc
 
-    def sequence_hash(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits, as two arrays, for each sequence of words."""
-        return spans_hash(self.hashes, start, end, _word_powers), spans_hash(mix(self.hashes ^ _U(0xA5A5A5A55A5A5A5A)), start, end, _word_powers2)
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits, as two arrays, for the word sequence of each text."""
+        n = self.counts
+        place = (np.arange(len(self.hashes)) - np.repeat(self.first[:-1], n)).astype(_U) * _GOLD
+        out = []
+        for salt in (0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7):
+            sums = np.zeros(len(self.hashes) + 1, _U)
+            np.cumsum(mix(mix(self.hashes ^ _U(salt)) + place), out=sums[1:])
+            out.append(mix(sums[self.first[1:]] - sums[self.first[:-1]] + n.astype(_U) * _GOLD))
+        return out[0], out[1]
 
 
 def chunks(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:

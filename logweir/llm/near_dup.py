@@ -3,9 +3,10 @@
 128 MinHash samples of a text's five-word shingles give 32 band keys of four samples each, and fold into an odd sketch:
 a bitmap of 512 bits, each sample flipping one. The population count of two sketches' XOR estimates how many samples
 differ, precisely where they are few, so pairs in a bucket that can't reach the threshold fall out before full sets are
-compared. Texts with equal word sequences are one text first. Buckets are compared with a pivot; only where
-members then still belong to different components is every such pair looked at: by sketches in each bucket, which joins
-near ones to families, then by full sets in blocks of a family.
+compared. Texts with equal word sequences are one text first. A bucket's members are compared with its pivot, in rounds:
+a text meets one pivot, then two more, then four, and those that are by then in its component fall out unseen. Only where
+a bucket's members still belong to different components is every such pair looked at: by sketches in each bucket, which
+joins near ones to families, then by full sets in blocks of a family.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _word_powers, chunks, mix, signed, spans_hash, table, written
-from .graph import components
+from .common import Words, chunks, dropped, mix, signed, table, windows_hash, written
+from .graph import components, merged
 
 SHINGLE, SAMPLES, ROWS, BITS = 5, 128, 4, 512
 #: A pair at 0.75 has about 57 differing bits, with a deviation of 9; beyond this many it is not compared.
@@ -36,11 +37,10 @@ _TIMES = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(_U32) | _U32
 
 def shingles(w: Words) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text: fewer than five words are one shingle, no words none."""
-    at, doc = w.windows(SHINGLE)
-    hashes = spans_hash(w.hashes, at, at + SHINGLE, _word_powers)
-    cuts = np.searchsorted(doc, np.arange(len(w.first)))
-    whole = spans_hash(w.hashes, w.first[:-1], w.first[1:], _word_powers)
-    return [np.unique(hashes[cuts[i] : cuts[i + 1]]) if n >= SHINGLE else whole[i : i + 1] if n else hashes[:0] for i, n in enumerate(w.counts)]
+    hashes = windows_hash(w.hashes, SHINGLE)
+    whole, _ = w.whole()
+    first = w.first
+    return [np.unique(hashes[first[i] : first[i + 1] - SHINGLE + 1]) if n >= SHINGLE else whole[i : i + 1] if n else whole[:0] for i, n in enumerate(w.counts)]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -82,7 +82,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 minima = signatures([sets[i] for i in long])
                 for i, keys, bits in zip(long, band_keys(minima), odd_sketches(minima), strict=True):
                     bands[i], sketches[i] = keys, bits
-            high, low = w.sequence_hash(w.first[:-1], w.first[1:])
+            high, low = w.whole()
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(lo, hi - lo), "n_words": pa.array(w.counts.astype(np.int64)), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "high": pa.array(signed(high)), "low": pa.array(signed(low)), "bands": pa.array(bands, longs), "sketch": pa.array(sketches, longs)})
 
 
@@ -168,44 +168,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Letters A-Z are lower-cased. Texts are linked when 100 * intersection >= percent * union of their shingle sets, which
     is confirmed on the full sets (as 64-bit hashes); a pair at 0.75 meets in no band with a chance of 5 in a million.
-    Null, empty and blank texts are linked with nothing and kept, as are rows without an id. Rows that repeat an id with
-    the same text get the same result. Other columns are ignored.
+    Null, empty and blank texts are linked with nothing and kept, as are rows without an id. Rows that repeat an id are
+    one document: its links are those of all its texts, and each of its rows comes out once, with its own n_shingles.
+    Other columns are ignored.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     signs = written(docs.mapInArrow(_sign, "doc_id long, n_words long, n_shingles long, high long, low long, bands array<long>, sketch array<long>"), "signatures")
     named = signs.where((F.col("n_words") > 0) & F.col("doc_id").isNotNull())
-    groups = written(named.groupBy("high", "low", "n_words").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last"), "copygroups")
-    copies = written(named.select("doc_id", "high", "low", "n_words").join(groups, ["high", "low", "n_words"]).where("doc_id > rep").select("doc_id", "rep").distinct(), "copies")
-    reps = named.where("bands IS NOT NULL").join(copies.select("doc_id"), "doc_id", "left_anti")
+    text_key = ["high", "low", "n_words"]
+    groups = written(named.groupBy(*text_key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last"), "copygroups")
+    copies = written(named.select("doc_id", *text_key).join(groups, text_key).where("doc_id > rep").distinct(), "copies")
+    reps = named.where("bands IS NOT NULL").join(copies.drop("rep"), ["doc_id", *text_key], "left_anti")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("key")
     members = written(keys.join(shared, "key").distinct(), "members")
-    near = written(reps.select("doc_id", "sketch").join(members.select("doc_id").distinct(), "doc_id"), "sketches")
-    members = written(members.join(near, "doc_id"), "buckets")
-    held = written(docs.join(near.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), "heldtexts")
+    near = written(reps.select("doc_id", "sketch").join(members.select("doc_id").distinct(), "doc_id").distinct(), "sketches")
+    buckets = written(members.join(near, "doc_id"), "buckets")
+    held = written(docs.join(near.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "text"]), "heldtexts")
+    dropped(members)
+    labels = _pivot_rounds(buckets, near, held, percent)
+    families = components(_bucket_forest(_unsettled(buckets, labels)))
+    labels = merged(labels, written(_settled(families, labels, held, percent), "links"))
+    # An id with several texts, some of them copies: its links are also those of the texts that they copy.
+    several = named.groupBy("doc_id").agg(F.min(F.struct("high", "low")).alias("x"), F.max(F.struct("high", "low")).alias("y")).where("x <> y").select("doc_id")
+    across = written(copies.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "across")
+    if not across.isEmpty():
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(across))
+    out = signs.select("doc_id", "n_shingles", *text_key).join(copies, ["doc_id", *text_key], "left").withColumn("of", F.coalesce("rep", "doc_id"))
+    out = out.join(labels, F.col("of") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "of"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
 
-    def labelled(links: DataFrame) -> DataFrame:
-        return near.select("doc_id").join(components(links), F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+def _pivot_rounds(buckets: DataFrame, near: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of all near texts after each was compared with its buckets' pivots, but for those already in its component.
 
-    pivots = members.groupBy("key").agg(F.min(F.struct("doc_id", "sketch")).alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.sketch").alias("pivot_sketch"))
-    pairs = members.join(pivots, "key").where((F.col("doc_id") > F.col("pivot")) & (differing("sketch", "pivot_sketch") <= MOST_BITS))
-    pairs = written(pairs.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    open: a row for each text with the pivots that are still to be looked at, at most one for each band.
+    """
+    pivots = buckets.groupBy("key").agg(F.min(F.struct("doc_id", "sketch")).alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.sketch").alias("pivot_sketch"))
+    pairs = buckets.join(pivots, "key").where((F.col("doc_id") > F.col("pivot")) & (differing("sketch", "pivot_sketch") <= MOST_BITS))
+    open_ = written(pairs.groupBy("doc_id").agg(F.sort_array(F.collect_set("pivot")).alias("pivots")), "open")
+    labels = written(near.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).distinct(), "labels")
     first = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     second = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    full = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
-    links = written(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
-    labels = written(labelled(links), "labels")
-    families = components(_bucket_forest(_unsettled(members, labels)))
-    links = links.union(written(_settled(families, labels, held, percent), "links"))
-    whole = written(components(links), "components")
-    out = signs.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("of", F.coalesce("rep", "doc_id"))
-    out = out.join(whole, F.col("of") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "of"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    most = 1
+    while not open_.isEmpty():
+        now = open_.select(F.col("doc_id").alias("b"), F.explode(F.slice("pivots", 1, most)).alias("a"))
+        full = now.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
+        links = written(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
+        labels = merged(labels, links)
+        rest = open_.where(F.size("pivots") > most).select("doc_id", F.explode(F.slice("pivots", F.lit(most + 1), F.size("pivots"))).alias("pivot"))
+        rest = rest.join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("other")), "pivot").groupBy("doc_id").agg(F.collect_set(F.struct("other", "pivot")).alias("found"))
+        rest = rest.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id").select("doc_id", F.expr("sort_array(transform(filter(found, x -> x.other <> component), x -> x.pivot))").alias("pivots"))
+        left = written(rest.where(F.size("pivots") > 0), "open")
+        dropped(open_, links)
+        open_, most = left, 2 * most
+    return labels
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with components and the number of blocks, of the buckets that hold more than one component."""
-    now = written(members.join(labels, "doc_id"), "members")
+    now = written(members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id"), "members")
     keys = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     return now.join(keys.where("lo < hi").select("key", "blocks"), "key")
 
@@ -223,7 +245,7 @@ def _settled(families: DataFrame, labels: DataFrame, texts: DataFrame, percent:
     """Links between components of one family. Small components share blocks, a large one has blocks of its own, and each
     two blocks but those of one component are compared in one group, so that no pair becomes a row unless it is a link."""
     family = families.select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
-    members = written(family.join(labels, "doc_id").join(texts, "doc_id"), "family")
+    members = written(family.join(labels.withColumnRenamed("id", "doc_id"), "doc_id").join(texts, "doc_id"), "family")
     load = F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("text")) / BLOCK_BYTES).alias("load")
     parts = members.groupBy("family", "component").agg(load)
     small = parts.where("load <= 1").groupBy("family").agg(F.ceil(F.sum("load")).cast("long").alias("shared"))

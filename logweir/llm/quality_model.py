@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _word_powers, chunks, spans_hash, table, written
+from .common import Words, chunks, table, windows_hash, written
 from .toxicity import remainder
 
 MEASURES = ("log_words", "word_length", "symbols", "bars", "exclamations", "capitals", "digits", "other_marks", "sentence_ends", "non_ascii", "repeated_lines", "repeated_phrases", "distinct_words", "words_a_line", "capitalised")
@@ -44,8 +44,7 @@ def measures(w: Words, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         distinct, seen = np.unique(hashes, return_counts=True)
         phrases = 0
         if n > 5:
-            at = np.arange(n - 4)
-            phrases = 1 - len(np.unique(spans_hash(hashes, at, at + 5, _word_powers))) / (n - 4)
+            phrases = 1 - len(np.unique(windows_hash(hashes, 5))) / (n - 4)
         lines = [x for x in data[offsets[i] : offsets[i + 1]].tobytes().split(b"\n") if x.strip()]
         out[i] = (
             np.log(n), chars / n, count[[35, 42, 36, 37, 38, 60, 62]].sum() / n, count[124] / n, count[33] / n, count[65:91].sum() / chars, count[48:58].sum() / chars, count[_MARKS].sum() / n,

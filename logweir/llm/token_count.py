@@ -219,7 +219,7 @@ class TokenCounter:
         return out + self._count(texts[at:])
 
     def _count(self, texts: list[str]) -> list[int]:
-        from .common import _bytes_powers, spans_hash
+        from .common import spans_hash
 
         if not texts:
             return []
@@ -243,7 +243,7 @@ class TokenCounter:
             return totals.tolist()
         piece = np.searchsorted(ends, start, "left")
         end = np.minimum(np.append(start[1:], len(points)), ends[piece])
-        hashes = spans_hash(points.astype(np.uint64) + np.uint64(1), start, end, _bytes_powers)
+        hashes = spans_hash(points, start, end)
         unique, at, of = np.unique(hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self.known, unique)
         fresh = np.ones(len(unique), bool)
