@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +13,15 @@ from logweir.lang import times
 from logweir.lang.parser import from_json, parse
 from logweir.lang.tree import LogQuery
 from logweir.operators.results import response
+from logweir.operators.streams import stream_dimension
 from logweir.operators.streams import stream_ids as streams_of
 from logweir.plans.compiler import MOST_LINES, to_df
-from logweir.sources.push import PUSH_SCHEMA, check_push, decoded, flatten, in_retention, to_lines, within_limits
+from logweir.sources.push import check_push, decoded, flatten, in_retention, parsed, to_lines, within_limits
 from logweir.sources.store import LogStore
 
 MOST_BODY = 4 << 20
+#: Streams that a query names to the scan itself, so that it skips the parts of files without them; with more they are joined.
+MOST_PUSHED = 200
 
 
 def tenant_of(header: str | None) -> int:
@@ -35,6 +39,7 @@ class LogEngine:
     def __init__(self, store: LogStore, flush_bytes: int = MOST_BODY) -> None:
         self.store, self.flush_bytes = store, flush_bytes
         self.waiting: list[tuple[int, str]] = []
+        self.flushing: tuple[str, list[tuple[int, str]]] | None = None
 
     def ingest_push(self, body: str | bytes, tenant: int = 0, content_type: str | None = None, encoding: str | None = None, now_ns: int | None = None) -> int:
         """Takes a push body; InvalidPush if it is malformed. The number of values in it."""
@@ -52,15 +57,22 @@ class LogEngine:
             self.flush(now_ns)
         return sum(len(s["values"]) for s in data["streams"])
 
+    def _lines(self, bodies: list[tuple[int, str]], now_ns: int | None) -> DataFrame:
+        """The lines of bodies, without those beyond limits or the days that are kept."""
+        pushes = self.store.spark.createDataFrame(bodies, "tenant int, body string").select("tenant", parsed(F.col("body")))
+        return to_lines(flatten(pushes), F.col("tenant")).where(within_limits() & in_retention(now_ns or time.time_ns()))
+
     def flush(self, now_ns: int | None = None) -> None:
-        """Writes what is waiting; lines beyond limits or the days that are kept are dropped."""
-        spark = self.store.spark
-        for tenant in sorted({t for t, _ in self.waiting}):
-            bodies = spark.createDataFrame([(b,) for t, b in self.waiting if t == tenant], "body string")
-            pushes = bodies.select(F.from_json("body", PUSH_SCHEMA, {"mode": "FAILFAST"}).alias("p")).select("p.*")
-            lines = to_lines(flatten(pushes), tenant)
-            self.store.append(lines.where(within_limits() & in_retention(now_ns or time.time_ns())))
-        self.waiting = []
+        """Writes what is waiting, of all tenants at once. What fails is tried again by the next flush, and written once."""
+        while self.flushing or self.waiting:
+            if not self.flushing:
+                self.flushing, self.waiting = (f"flush-{uuid.uuid4().hex}", self.waiting), []
+            name, bodies = self.flushing
+            self.store.append(self._lines(bodies, now_ns), name)
+            self.flushing = None
+
+    def ready(self) -> bool:
+        return self.store.ready()
 
     def query(self, text: str, tenant: int = 0, now_ns: int | None = None, limit: int | None = MOST_LINES) -> DataFrame:
         return self.run(parse(text, now_ns), tenant, limit)
@@ -68,8 +80,13 @@ class LogEngine:
     def query_json(self, body: dict, tenant: int = 0, limit: int | None = MOST_LINES) -> DataFrame:
         return self.run(from_json(body), tenant, limit)
 
-    def run(self, query: LogQuery, tenant: int = 0, limit: int | None = MOST_LINES) -> DataFrame:
-        return to_df(self.store.lines(), self.store.streams(), tenant, query, limit)
+    def run(self, query: LogQuery, tenant: int = 0, limit: int | None = MOST_LINES, waiting: bool = False, now_ns: int | None = None) -> DataFrame:
+        """The query's lines; waiting: with what has been pushed but not flushed."""
+        lines, streams = self.store.lines(), self.store.streams()
+        if waiting and (bodies := [*(self.flushing or ("", []))[1], *self.waiting]):
+            more = self._lines(bodies, now_ns)
+            lines, streams = lines.unionByName(more.drop("tags"), allowMissingColumns=True), streams.unionByName(stream_dimension(more))
+        return to_df(lines, streams, tenant, query, limit, MOST_PUSHED)
 
     def query_response(self, text: str, tenant: int = 0, now_ns: int | None = None) -> str:
         """The JSON that a client gets."""

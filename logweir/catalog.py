@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweir.api import LogEngine
 from logweir.functions import columns as fn
 from logweir.lang.parser import from_json, parse
 from logweir.operators import results, streams
-from logweir.plans.compiler import MOST_LINES, matching_lines, to_df
+from logweir.plans.compiler import MOST_LINES, matching_lines
 from logweir.sources import collectors, push
-from logweir.sources.store import LogStore
+from logweir.sources.store import LogStore, shared_dir
 from logweir.sources.testdata import event_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,9 +42,26 @@ def _add(name: str, sql: str | None = None):
     return put
 
 
+def _stored(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, **options) -> LogStore:
+    """A new store of the events, or of some of them."""
+    store = LogStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", **options)
+    store.append(event_lines(spark, sf_dir) if lines is None else lines)
+    return store
+
+
+_stores: dict[tuple, LogStore] = {}
+
+
+def event_store(spark: SparkSession, sf_dir: str) -> LogStore:
+    """The store of the events, written once for an application; user_id has a column of its own."""
+    key = spark.sparkContext.applicationId, sf_dir, shared_dir(spark)
+    if key not in _stores or not _stores[key]._files(_stores[key].lines_path):
+        _stores[key] = _stored(spark, sf_dir, promoted=("user_id",))
+    return _stores[key]
+
+
 def _query(spark: SparkSession, sf_dir: str, query, tenant: int) -> DataFrame:
-    lines = event_lines(spark, sf_dir)
-    return to_df(lines, streams.stream_dimension(lines), tenant, query)
+    return LogEngine(event_store(spark, sf_dir)).run(query, tenant)
 
 
 def _shown(lines: DataFrame) -> DataFrame:
@@ -56,10 +75,10 @@ _TEXTS = {
     "tag_ne": (1, MONTH + " {type!=error}", "type <> 'error'"),
     "tag_and": (2, MONTH + " {app=events AND type=click}", "type = 'click'"),
     "tag_or": (0, MONTH + " {type=click OR type=error}", "type IN ('click', 'error')"),
-    "tag_missing": (0, MONTH + " {nothing!=x}", "false"),
+    "tag_missing": (0, MONTH + " {nothing!=x OR nothing=x OR type=error}", "type = 'error'"),
     "field_eq": (0, MONTH + " user_id=12", "user_id = 12"),
     "field_ne": (0, MONTH + " k!=5", "k <> '5'"),
-    "field_missing": (1, MONTH + " {app=events} absent!=5 OR absent=5", "false"),
+    "field_missing": (1, MONTH + " {app=events} absent!=5 OR absent=5 OR absent<9 OR k!=3", "k <> '3'"),
     "msg_eq": (0, MONTH + " _msg='error user=12'", "msg = 'error user=12'"),
     "and_pred": (0, MONTH + " type=click AND k!=3", "type = 'click' AND k <> '3'"),
     "or_pred": (1, MONTH + " k=3 OR type=error", "(k = '3' OR type = 'error')"),
@@ -67,9 +86,9 @@ _TEXTS = {
     "and_before_or": (0, MONTH + " type=error OR type=click AND k=3", "(type = 'error' OR type = 'click' AND k = '3')"),
     "grouping_precedence": (0, MONTH + " (type=error OR type=click) AND k=3", "(type = 'error' OR type = 'click') AND k = '3'"),
     "tag_as_field": (2, MONTH + " type=click", "type = 'click'"),
-    "empty_value": (0, MONTH + " note=''", "false"),
+    "empty_value": (0, MONTH + " note='' OR k=''  OR k=4", "k = '4'"),
     "no_tags_scan": (1, MONTH + " note=n", "note = 'n'"),
-    "tenant_isolation": (7, MONTH + " {app=events}", "false"),
+    "tenant_isolation": (2, MONTH + " type=error", "type = 'error'"),
     "top_2000": (0, MONTH + " {app=events}", "true"),
     "field_regex": (0, MONTH + " msg!=x OR value~'^1.*5$'", "regexp_matches(value, '^1.*5$')"),
     "field_not_regex": (0, MONTH + " k!~'^[1-4]'", "NOT regexp_matches(k, '^[1-4]')"),
@@ -129,11 +148,26 @@ def latest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "ts_ns", F.row_number().over(Window.orderBy(F.col("ts_ns").desc())).cast("bigint").alias("place"))
 
 
-@_add("line_json")
+_LINE = """'{"_time":"' || strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%dT%H:%M:%S.%gZ') || '","_msg":"' || msg || '","app":"events","id":"' || id || '"' ||
+  coalesce(',"k":"' || k || '"', '') || coalesce(',"note":"' || note || '"', '') || ',"type":"' || type || '","user_id":"' || user_id || '","value":"' || value || '"}'"""
+_ERRORS = f"tenant_id = 0 AND type = 'error' AND {_MONTH_NS} ORDER BY ts_ns DESC LIMIT {MOST_LINES}"
+
+
+@_add("line_json", f"WITH {_L} SELECT {_LINE} AS line FROM l WHERE {_ERRORS}")
 def line_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _query(spark, sf_dir, parse(MONTH + " {type=error}"), 0).select(results.line_json().alias("line"))
 
 
+@_add("pipe_json", f"WITH {_L} SELECT {_LINE} AS line FROM l WHERE {_ERRORS}")
+def pipe_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _query(spark, sf_dir, parse(MONTH + " {type=error} | json"), 0)
+
+
+@_add("line_json_size", f"WITH {_L} SELECT id, CAST(strlen({_LINE}) AS INT) AS n_bytes FROM l")
+def line_json_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_lines(spark, sf_dir).select(F.col("fields")["id"].cast("bigint").alias("id"), results.json_bytes().alias("n_bytes"))
+
+
 @_add("time_render", f"WITH {_L} SELECT id, strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS _time FROM l")
 def time_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_lines(spark, sf_dir).select(F.col("fields")["id"].cast("bigint").alias("id"), fn.render_time(F.col("ts_ns")).alias("_time"))
@@ -156,10 +190,10 @@ def stream_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.stream_dimension(event_lines(spark, sf_dir)).select("tenant_id", "day", "stream_id", F.col("tags")["type"].alias("type"))
 
 
-@_add("new_streams_anti", f"WITH {_L} SELECT DISTINCT tenant_id, day, stream_id FROM l a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.id % 2 = 0 AND b.tenant_id = a.tenant_id AND b.day = a.day AND b.stream_id = a.stream_id)")
+@_add("new_streams_anti", f"WITH {_L} SELECT DISTINCT tenant_id, day, stream_id FROM l a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.type IN ('click', 'error') AND b.day < DATE '2024-01-15' AND b.tenant_id = a.tenant_id AND b.day = a.day AND b.stream_id = a.stream_id)")
 def new_streams_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = event_lines(spark, sf_dir)
-    known = streams.stream_dimension(lines.where(F.col("fields")["id"].cast("bigint") % 2 == 0))
+    known = streams.stream_dimension(lines.where(F.col("tags")["type"].isin("click", "error") & (F.col("day") < F.lit("2024-01-15").cast("date"))))
     return streams.new_streams(lines, known).select("tenant_id", "day", "stream_id")
 
 
@@ -180,7 +214,8 @@ def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("lines_per_day", f"WITH {_L} SELECT day, count(*) AS n FROM l GROUP BY day")
 def lines_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_lines(spark, sf_dir).groupBy("day").agg(F.count("*").alias("n"))
+    """By the folders that the writer chose."""
+    return event_store(spark, sf_dir).lines().groupBy("day").agg(F.count("*").alias("n"))
 
 
 @_add("day_key", f"WITH {_L} SELECT strftime(day, '%d%m%Y') AS day_key, count(*) AS n FROM l GROUP BY 1")
@@ -207,17 +242,37 @@ def ingest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(f["conv"].cast("bigint").alias("conv"), f["turn"].cast("bigint").alias("turn"), "ts_ns", f["role"].alias("role"), "msg")
 
 
-@_add("validate_lines", "SELECT conv_id AS conv, turn FROM conversations WHERE octet_length(encode(coalesce(text, ''))) <= 16384 AND octet_length(encode(coalesce(text, ''))) + strlen(role) + strlen(CAST(conv_id AS VARCHAR)) + strlen(CAST(turn AS VARCHAR)) + 12 <= 32767")
+_LONG_MSG = "repeat(coalesce(text, '') || '.', 1 + CAST(turn % 4 AS INT) * 40)"
+
+
+@_add("validate_lines", f"WITH c AS (SELECT *, octet_length(encode({_LONG_MSG})) AS n, CASE WHEN conv_id % 5 = 0 THEN 200 ELSE 3 END AS key_size, CASE WHEN conv_id % 3 = 0 THEN 12000 ELSE 1 END AS pad FROM conversations) SELECT conv_id AS conv, turn FROM c WHERE n <= 16384 AND key_size <= 128 AND n + pad + 2 * key_size + strlen(role) + strlen(CAST(conv_id AS VARCHAR)) + strlen(CAST(turn AS VARCHAR)) + 15 <= 32767")
 def validate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = push.to_lines(_event_pushes(spark, sf_dir), 0).where(push.within_limits())
+    """Messages, keys and whole lines on both sides of their limits."""
+    more = F.create_map(F.lit("pad"), F.repeat(F.lit("p"), F.when(F.expr("CAST(element_at(meta, 'conv') AS INT) % 3 = 0"), 12000).otherwise(1)))
+    key = F.repeat(F.lit("k"), F.when(F.expr("CAST(element_at(meta, 'conv') AS INT) % 5 = 0"), 200).otherwise(3))
+    flat = _event_pushes(spark, sf_dir).withColumn("meta", F.map_concat("meta", more, F.create_map(key, key)))
+    flat = flat.withColumn("msg", F.repeat(F.concat(F.coalesce("msg", F.lit("")), F.lit(".")), 1 + F.expr("CAST(element_at(meta, 'turn') AS INT) % 4") * 40))
+    lines = push.to_lines(flat, 0).where(push.within_limits())
     return lines.select(F.col("fields")["conv"].cast("bigint").alias("conv"), F.col("fields")["turn"].cast("bigint").alias("turn"))
 
 
-@_add("ingest_bad_ts", "SELECT item_id, false AS good FROM benchmark")
+#: Bodies with one fault each, around an event's own values, and what they are refused for.
+_FAULTS = (
+    ("%s", None), ("x%s", "INVALID_JSON"), ('{"streams":{}}', "INVALID_STREAMS"), ('{"streams":[{"stream":{"a":1},"values":[]}]}', "INVALID_STREAM"), ('{"streams":[{"stream":{}}]}', "INVALID_VALUES"),
+    ('{"streams":[{"stream":{},"values":[["1"]]}]}', "INVALID_VALUES"), ('{"streams":[{"stream":{},"values":[["-1","m"]]}]}', "INVALID_TIMESTAMP"), ('{"streams":[{"stream":{},"values":[["99999999999999999999","m"]]}]}', "INVALID_TIMESTAMP"),
+    ('{"streams":[{"stream":{},"values":[["1","m",{"a":1}]]}]}', "INVALID_METADATA"), ('{"streams":[{"stream":{"t":"v"},"values":[["12","m",{"a":"1"}],["x","m"]]}]}', "INVALID_TIMESTAMP"),
+)
+
+
+@_add("ingest_bad_ts", "SELECT event_id, CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{code}'" for i, (_, code) in enumerate(_FAULTS) if code) + " END AS code FROM events")
 def ingest_bad_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts as times: none is made of digits."""
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return b.select("item_id", (F.col("text").rlike("^[0-9]+$") & F.col("text").try_cast("bigint").isNotNull()).alias("good"))
+    """What push bodies are refused for, one of them in ten not at all."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    good = F.to_json(F.struct(F.array(F.struct(F.create_map(F.lit("type"), F.col("event_type")).alias("stream"), F.array(F.array(F.col("event_id").cast("string"), F.col("event_type"))).alias("values"))).alias("streams")))
+    body = F.lit(None).cast("string")
+    for i, (text, _) in reversed(list(enumerate(_FAULTS))):
+        body = F.when(F.col("event_id") % 10 == i, F.concat(F.lit(text[:-2]), good) if text.endswith("%s") else F.lit(text)).otherwise(body)
+    return e.select("event_id", push.refusal(body).alias("code"))
 
 
 @_add("ingest_push_flatten", f"WITH {_L} SELECT id, ts_ns, msg FROM l")
@@ -235,22 +290,16 @@ def scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(event_lines(spark, sf_dir))
 
 
-@_add("union_mem_disk", f"WITH {_L} SELECT id, ts_ns, msg FROM l")
+@_add("union_mem_disk", f"WITH {_L} SELECT id, ts_ns, msg FROM l WHERE {_ERRORS}")
 def union_mem_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the lines are on disk, the others wait in an engine as pushed bodies; streams of some days only wait."""
     lines = event_lines(spark, sf_dir)
-    waiting = F.col("ts_ns") >= NOW
-    return _shown(lines.where(waiting).unionByName(lines.where(~waiting)))
-
-
-def _stored(spark: SparkSession, sf_dir: str, **options) -> LogStore:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="logweir-")
-    import uuid
-
-    store = LogStore(spark, f"{base}/store-{uuid.uuid4().hex}", **options)
-    store.append(event_lines(spark, sf_dir))
-    return store
+    waits = (F.col("fields")["id"].cast("bigint") % 3 == 0) | (F.col("day") == F.lit("2024-01-14").cast("date"))
+    engine = LogEngine(_stored(spark, sf_dir, lines.where(~waits)), flush_bytes=1 << 40)
+    found = lines.where(waits & (F.col("tags")["type"] == "error") & (F.col("tenant_id") == 0))
+    for r in found.collect():
+        engine.ingest_push(json.dumps({"streams": [{"stream": r["tags"], "values": [[str(r["ts_ns"]), r["msg"], r["fields"]]]}]}), 0)
+    return _shown(engine.run(parse(MONTH + " {type=error}"), 0, waiting=True, now_ns=NOW + 15 * 86_400 * 10**9))
 
 
 @_add("sorted_write_roundtrip", f"WITH {_L} SELECT id, ts_ns, msg FROM l")
@@ -267,13 +316,12 @@ def compaction_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("promoted_field", f"WITH {_L} SELECT id, ts_ns, msg FROM l WHERE tenant_id = 0 AND {_MONTH_NS} AND user_id = 12 ORDER BY ts_ns DESC LIMIT {MOST_LINES}")
 def promoted_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = _stored(spark, sf_dir, promoted=("user_id",))
-    return _shown(to_df(store.lines(), store.streams(), 0, parse(MONTH + " user_id=12")))
+    return _shown(_query(spark, sf_dir, parse(MONTH + " user_id=12"), 0))
 
 
 def _matched(spark: SparkSession, sf_dir: str, text: str, tenant: int) -> DataFrame:
-    lines = event_lines(spark, sf_dir)
-    return matching_lines(lines, streams.stream_dimension(lines), tenant, parse(text))
+    store = event_store(spark, sf_dir)
+    return matching_lines(store.lines(), store.streams(), tenant, parse(text))
 
 
 @_add("entry_count", f"WITH {_L} SELECT count(*) AS entries FROM l WHERE tenant_id = 0 AND type = 'error' AND {_MONTH_NS}")

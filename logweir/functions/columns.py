@@ -26,8 +26,10 @@ def time_of(ts_ns: Column) -> Column:
 
 
 def render_time(ts_ns: Column) -> Column:
-    """RFC 3339 with milliseconds, cut off rather than rounded, in UTC (the session's zone)."""
-    return F.date_format(time_of(ts_ns), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """RFC 3339 with milliseconds, cut off rather than rounded, in UTC whatever the session's zone."""
+    ms = div(ts_ns, 1_000_000) % F.lit(DAY_NS // 1_000_000)
+    part = lambda by, size, width: F.lpad((div(ms, by) % F.lit(size)).cast("string"), width, "0")
+    return F.concat(day_of(ts_ns).cast("string"), F.lit("T"), part(3_600_000, 24, 2), F.lit(":"), part(60_000, 60, 2), F.lit(":"), part(1000, 60, 2), F.lit("."), part(1, 1000, 3), F.lit("Z"))
 
 
 def day_key(day: Column) -> Column:
@@ -36,13 +38,13 @@ def day_key(day: Column) -> Column:
 
 def sorted_map(m: Column) -> Column:
     """The map with its entries in key order."""
-    return F.map_from_entries(F.array_sort(F.map_entries(m)))
+    return F.map_from_entries(F.sort_array(F.map_entries(m)))
 
 
 def stream_id(tags: Column) -> Column:
     """128 bits of a stream's tags, as hex: a digest of its sorted, length-prefixed entries, computed in the JVM."""
     piece = lambda s: F.concat(F.octet_length(s).cast("string"), F.lit(":"), s)
-    entries = F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(piece(e["key"]), piece(e["value"])))
+    entries = F.transform(F.sort_array(F.map_entries(tags)), lambda e: F.concat(piece(e["key"]), piece(e["value"])))
     return F.md5(F.array_join(entries, "").cast("binary"))
 
 

@@ -12,10 +12,15 @@ def line_json() -> Column:
     """A line as a JSON object: _time, _msg and its non-empty fields, in key order."""
     head = F.create_map(F.lit("_time"), render_time(F.col("ts_ns")))
     message = F.when(F.length("msg") > 0, F.create_map(F.lit("_msg"), F.col("msg"))).otherwise(F.create_map().cast("map<string,string>"))
-    merged = F.concat(F.map_entries(head), F.map_entries(message), F.array_sort(F.map_entries(without_empty(F.col("fields")))))
+    merged = F.concat(F.map_entries(head), F.map_entries(message), F.sort_array(F.map_entries(without_empty(F.col("fields")))))
     return F.to_json(F.map_from_entries(merged))
 
 
+def json_bytes() -> Column:
+    """Bytes of a line as line_json gives it."""
+    return F.octet_length(line_json())
+
+
 def response(lines: DataFrame) -> str:
     """The body of a query's answer; lines are those of a query, so at most its limit."""
     return '{"lines":[' + ",".join(r[0] for r in lines.select(line_json()).collect()) + "]}"

@@ -82,13 +82,22 @@ def matching_streams(streams: DataFrame, tenant: int, query: LogQuery) -> DataFr
     return found.where(condition(query.tags, set(), "tags")).select("day", "stream_id").distinct()
 
 
-def matching_lines(lines: DataFrame, streams: DataFrame, tenant: int, query: LogQuery) -> DataFrame:
-    """All lines of one tenant that a query matches, in no order."""
+def matching_lines(lines: DataFrame, streams: DataFrame, tenant: int, query: LogQuery, most_pushed: int = 0) -> DataFrame:
+    """All lines of one tenant that a query matches, in no order.
+
+    most_pushed: if the tags ask for so many streams at most, they are looked up first and named to the scan, whose files are
+    sorted by stream; a stream's number stands for its tags, so no join is needed then.
+    """
     out = lines.where((F.col("tenant_id") == tenant) & in_range(query))
     if query.stream_ids is not None:
         out = out.where(F.col("stream_id").isin(*query.stream_ids)) if query.stream_ids else out.where(F.lit(False))
     if query.tags is not None:
-        out = out.join(matching_streams(streams, tenant, query), ["day", "stream_id"], "left_semi")
+        wanted = matching_streams(streams, tenant, query)
+        names = [r[0] for r in wanted.select("stream_id").distinct().limit(most_pushed + 1).collect()] if most_pushed else []
+        if most_pushed and len(names) <= most_pushed:
+            out = out.where(F.col("stream_id").isin(*sorted(names)) if names else F.lit(False))
+        else:
+            out = out.join(wanted, ["day", "stream_id"], "left_semi")
     if query.fields is not None:
         out = out.where(condition(query.fields, set(lines.columns)))
     return out
@@ -100,10 +109,10 @@ def newest(lines: DataFrame, limit: int | None = MOST_LINES) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
-def to_df(lines: DataFrame, streams: DataFrame, tenant: int, query: LogQuery, limit: int | None = MOST_LINES) -> DataFrame:
+def to_df(lines: DataFrame, streams: DataFrame, tenant: int, query: LogQuery, limit: int | None = MOST_LINES, most_pushed: int = 0) -> DataFrame:
     """The query's lines, newest first and cut, then its pipes in turn."""
     from logweir.operators.pipes import apply
 
-    found = matching_lines(lines, streams, tenant, query)
+    found = matching_lines(lines, streams, tenant, query, most_pushed)
     return apply(found, query.pipes, limit) if query.pipes else newest(found, limit)
 

@@ -46,6 +46,32 @@ def check_push(body: str, content_type: str | None = None) -> dict:
     return data
 
 
+def refusal(body: Column) -> Column:
+    """The code for which check_push refuses a body, else null; expressions only, for bodies that come in files."""
+    kind = F.schema_of_variant
+    text = lambda v: F.coalesce(kind(v) == "STRING", F.lit(False))
+    texts = lambda m: F.coalesce(F.forall(F.map_values(m), text), F.lit(False))
+    parsed = F.try_parse_json(body)
+    streams = F.try_variant_get(parsed, "$.streams", "array<variant>")
+    tags = lambda s: texts(F.try_variant_get(s, "$.stream", "map<string,variant>"))
+    values = lambda s: F.try_variant_get(s, "$.values", "array<variant>")
+
+    def of_value(v: Column) -> Column:
+        parts = F.try_variant_get(v, "$", "array<variant>")
+        ts = F.when(text(parts[0]), F.try_variant_get(parts[0], "$", "string"))
+        digits = F.coalesce(ts.rlike("^[0-9]+$") & ts.try_cast("bigint").isNotNull(), F.lit(False))
+        shape = parts.isNull() | ~F.size(parts).isin(2, 3) | ~text(F.get(parts, F.lit(1)))
+        meta = (F.size(parts) == 3) & ~texts(F.try_variant_get(F.get(parts, F.lit(2)), "$", "map<string,variant>"))
+        return F.when(shape, "INVALID_VALUES").when(~digits, "INVALID_TIMESTAMP").when(meta, "INVALID_METADATA")
+
+    def of_stream(s: Column) -> Column:
+        first = F.get(F.filter(F.transform(values(s), of_value), lambda c: c.isNotNull()), F.lit(0))
+        return F.when(~tags(s), "INVALID_STREAM").when(values(s).isNull(), "INVALID_VALUES").otherwise(first)
+
+    first = F.get(F.filter(F.transform(streams, of_stream), lambda c: c.isNotNull()), F.lit(0))
+    return F.when(parsed.isNull(), "INVALID_JSON").when(streams.isNull(), "INVALID_STREAMS").otherwise(first)
+
+
 def merged(tags: Column, more: Column) -> Column:
     """Two maps as one; where both have a key the second counts."""
     more = F.coalesce(more, F.create_map().cast("map<string,string>"))
@@ -53,10 +79,14 @@ def merged(tags: Column, more: Column) -> Column:
 
 
 def flatten(pushes: DataFrame) -> DataFrame:
-    """A row for each value of push bodies that were read with PUSH_SCHEMA: tags, ts (text), msg and meta."""
-    streams = pushes.select(F.explode("streams").alias("s"))
-    values = streams.select(F.col("s.stream").alias("tags"), F.explode("s.values").alias("v"))
-    return values.select("tags", F.get("v", F.lit(0)).alias("ts_text"), F.get("v", F.lit(1)).alias("msg"), F.from_json(F.get("v", F.lit(2)), "map<string,string>").alias("meta"))
+    """A row for each value of push bodies that were read with PUSH_SCHEMA: tags, stream_id, ts (text), msg, meta, and other columns."""
+    rest = [c for c in pushes.columns if c != "streams"]
+    streams = pushes.select(*rest, F.explode("streams").alias("s"))
+    # A stream's tags and number are made once, not for each of its values.
+    streams = streams.select(*rest, sorted_map(F.coalesce("s.stream", F.create_map().cast("map<string,string>"))).alias("tags"), F.col("s.values").alias("values"))
+    streams = streams.withColumn("stream_id", stream_id(F.col("tags")))
+    values = streams.select(*rest, "tags", "stream_id", F.explode("values").alias("v"))
+    return values.select(*rest, "tags", "stream_id", F.get("v", F.lit(0)).alias("ts_text"), F.get("v", F.lit(1)).alias("msg"), F.from_json(F.get("v", F.lit(2)), "map<string,string>").alias("meta"))
 
 
 def to_lines(flat: DataFrame, tenant: Column | int) -> DataFrame:
@@ -64,9 +94,15 @@ def to_lines(flat: DataFrame, tenant: Column | int) -> DataFrame:
     ts = F.col("ts_text").try_cast("bigint")
     good = F.col("ts_text").rlike("^[0-9]+$") & ts.isNotNull()
     ts = F.when(good, ts).otherwise(F.raise_error(F.concat(F.lit("INVALID_TIMESTAMP: "), F.coalesce("ts_text", F.lit("null")))).cast("bigint"))
-    tags = sorted_map(F.coalesce("tags", F.create_map().cast("map<string,string>")))
-    flat = flat.select((F.lit(tenant) if isinstance(tenant, int) else tenant).cast("bigint").alias("tenant_id"), ts.alias("ts_ns"), F.coalesce("msg", F.lit("")).alias("msg"), tags.alias("tags"), sorted_map(without_empty(merged(F.col("tags"), renamed_reserved(F.coalesce("meta", F.create_map().cast("map<string,string>")))))).alias("fields"))
-    return flat.select("tenant_id", day_of(F.col("ts_ns")).alias("day"), stream_id(F.col("tags")).alias("stream_id"), "ts_ns", time_of(F.col("ts_ns")).alias("ts"), "msg", "fields", "tags")
+    if "stream_id" not in flat.columns:
+        flat = flat.withColumn("tags", sorted_map(F.coalesce("tags", F.create_map().cast("map<string,string>")))).withColumn("stream_id", stream_id(F.col("tags")))
+    flat = flat.select((F.lit(tenant) if isinstance(tenant, int) else tenant).cast("bigint").alias("tenant_id"), ts.alias("ts_ns"), F.coalesce("msg", F.lit("")).alias("msg"), "tags", "stream_id", sorted_map(without_empty(merged(F.col("tags"), renamed_reserved(F.coalesce("meta", F.create_map().cast("map<string,string>")))))).alias("fields"))
+    return flat.select("tenant_id", day_of(F.col("ts_ns")).alias("day"), "stream_id", "ts_ns", time_of(F.col("ts_ns")).alias("ts"), "msg", "fields", "tags")
+
+
+def parsed(body: Column) -> Column:
+    """streams of push bodies that were checked; null for a malformed one, as a plan may read bodies before it leaves out the refused."""
+    return F.from_json(body, PUSH_SCHEMA)["streams"].alias("streams")
 
 
 def within_limits() -> Column:

@@ -8,9 +8,10 @@ import pytest
 from logweir.api import LogEngine, tenant_of
 from logweir.functions.stream_ids import wire_stream_id
 from logweir.lang.errors import InvalidPush
+from logweir.lang.parser import parse
 from logweir.lang.tree import Both, Either, LogQuery, Predicate
 from logweir.plans.compiler import matching_lines, to_df
-from logweir.sources.push import check_push
+from logweir.sources.push import check_push, refusal
 from logweir.sources.store import LogStore
 from logweir.streaming.ingest import start_ingest
 
@@ -89,7 +90,13 @@ def test_plans(spark, engine):
     p = plan(engine.query("[-1h,now] {zone=eu} ms=12", 5, NOW))
     assert "PartitionFilters: [isnotnull(day" in p and "PushedFilters" in p
     assert "GreaterThanOrEqual(ts_ns" in p and "EqualTo(tenant_id,5)" in p and "EqualTo(f_ms,12)" in p
-    assert "LeftSemi" in p and "TakeOrderedAndProject" in p
+    assert "TakeOrderedAndProject" in p
+    # Few streams are named to the scan, many are joined.
+    assert "LeftSemi" not in p and "EqualTo(stream_id," in p or "In(stream_id," in p
+    q = parse("[-1h,now] {zone=eu} ms=12", NOW)
+    p = plan(to_df(engine.store.lines(), engine.store.streams(), 5, q, most_pushed=1))
+    assert "LeftSemi" in p
+    assert engine.run(q, 5).count() == to_df(engine.store.lines(), engine.store.streams(), 5, q).count()
 
 
 def test_compaction_and_retention(spark, tmp_path):
@@ -107,6 +114,135 @@ def test_compaction_and_retention(spark, tmp_path):
     assert store.drop_before("2025-01-01") == ["03072024"] and store.lines().count() == 0
 
 
+def some_store(spark, path, n=3):
+    store = LogStore(spark, str(path))
+    e = LogEngine(store)
+    for k in range(n):
+        e.ingest_push(body([({"a": "b"}, k, f"line {k}", {"id": str(k)})]), 0)
+        e.flush(NOW)
+    return store, str(store.lines().first()["day"]), sorted(map(str, store.lines().collect()))
+
+
+class Lost(Exception):
+    pass
+
+
+class LosingFs:
+    """A file system whose driver is lost, or whose renames fail, at the nth step."""
+
+    def __init__(self, fs, steps, refuse=False):
+        self.fs, self.steps, self.refuse = fs, steps, refuse
+
+    def __getattr__(self, name):
+        f = getattr(self.fs, name)
+
+        def call(*args):
+            if name in ("rename", "delete", "mkdirs", "create"):
+                self.steps -= 1
+                if self.steps < 0:
+                    if not self.refuse:
+                        raise Lost
+                    if name == "rename":
+                        return False
+            return f(*args)
+
+        return call
+
+
+@pytest.mark.parametrize("refuse", [False, True])
+def test_compaction_survives_at_every_step(spark, tmp_path, monkeypatch, refuse):
+    store, day, before = some_store(spark, tmp_path / "s")
+    for steps in range(9):
+        real = LogStore._fs
+        losing = LosingFs(store._fs(), steps, refuse)
+        monkeypatch.setattr(LogStore, "_fs", lambda self, losing=losing: losing)
+        try:
+            store.compact(day)
+        except (Lost, OSError):
+            pass
+        monkeypatch.setattr(LogStore, "_fs", real)
+        assert sorted(map(str, LogStore(spark, store.path).lines().collect())) == before, steps
+    assert not list((tmp_path / "s/journal").glob("[!.]*"))
+
+
+def test_lines_appended_during_compaction_stay(spark, tmp_path, monkeypatch):
+    store, day, before = some_store(spark, tmp_path / "s")
+    write = LogStore._write
+
+    def and_append(self, lines, path, mode):
+        write(self, lines, path, mode)
+        if "staged/compact" in path:
+            monkeypatch.setattr(LogStore, "_write", write)
+            e = LogEngine(store)
+            e.ingest_push(body([({"a": "b"}, 9, "meanwhile", {"id": "9"})]), 0)
+            e.flush(NOW)
+
+    monkeypatch.setattr(LogStore, "_write", and_append)
+    store.compact(day)
+    got = sorted(map(str, store.lines().collect()))
+    assert len(got) == len(before) + 1 and set(before) < set(got)
+
+
+def test_compaction_policy(spark, tmp_path, monkeypatch):
+    from logweir.sources import store as module
+
+    store, day, before = some_store(spark, tmp_path / "s", 4)
+    assert store.due() == []
+    monkeypatch.setattr(module, "LEAST_FILES", 4)
+    assert [d for d, _ in store.due()] == [day] and store.compact_due() == [day]
+    assert store.due() == [] and sorted(map(str, store.lines().collect())) == before
+    assert store.ready()
+
+
+def test_files_are_sorted(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    store = LogStore(spark, str(tmp_path / "s"))
+    e = LogEngine(store)
+    for n in range(60):
+        e.ingest_push(body([({"a": str(n % 7)}, n * 17 % 50, f"line {n}", {"id": str(n)})]), n % 3)
+    e.flush(NOW)
+    store.compact(str(store.lines().first()["day"]))
+    for p in (tmp_path / "s/lines").rglob("*.parquet"):
+        t = pq.ParquetFile(p).read(columns=["tenant_id", "stream_id", "ts_ns"]).to_pylist()
+        assert [tuple(r.values()) for r in t] == sorted(tuple(r.values()) for r in t)
+
+
+def test_failed_flush_is_written_once(spark, tmp_path, monkeypatch):
+    store = LogStore(spark, str(tmp_path / "s"))
+    e = LogEngine(store)
+    for tenant in (1, 2):
+        e.ingest_push(body([({"a": "b"}, tenant, f"of {tenant}", {"id": str(tenant)})]), tenant)
+    carry_on = LogStore._carry_on
+    for failing in ("_commit", "_carry_on"):
+        monkeypatch.setattr(LogStore, failing, lambda *_, **__: (_ for _ in ()).throw(Lost()))
+        with pytest.raises(Lost):
+            e.flush(NOW)
+        monkeypatch.undo()
+    assert LogStore._carry_on is carry_on
+    e.ingest_push(body([({"a": "b"}, 3, "of 3", {"id": "3"})]), 3)
+    assert e.run(parse("[-1h,now] {a=b}", NOW), 2, waiting=False).count() == 1  # the journal was there
+    assert e.run(parse("[-1h,now] {a=b}", NOW), 3, waiting=True, now_ns=NOW).count() == 1
+    e.flush(NOW)
+    e.flush(NOW)
+    assert sorted((r["tenant_id"], r["msg"]) for r in store.lines().collect()) == [(1, "of 1"), (2, "of 2"), (3, "of 3")]
+
+
+def test_times_in_any_zone(spark):
+    from pyspark.sql import functions as F
+
+    from logweir.functions.columns import render_time
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("America/New_York", "Asia/Kolkata", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            d = spark.createDataFrame([(1_234_567_890,), (1_709_164_799_999_999_999,), (0,)], "t long").select(render_time(F.col("t")).alias("s"))
+            assert [r["s"] for r in d.collect()] == ["1970-01-01T00:00:01.234Z", "2024-02-28T23:59:59.999Z", "1970-01-01T00:00:00.000Z"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_stream_of_files(spark, tmp_path):
     store, source = LogStore(spark, str(tmp_path / "s")), tmp_path / "in"
     source.mkdir()
@@ -116,7 +252,22 @@ def test_stream_of_files(spark, tmp_path):
     assert store.lines().count() == 2 * 6 and store.streams().count() == 4
 
 
-@pytest.mark.parametrize(
+def test_stream_refuses_bodies_and_goes_on(spark, tmp_path):
+    """Of four bodies two are malformed: none of their lines is taken, they are kept with their codes and counted."""
+    from logweir.streaming.ingest import rejects
+    from logweir.streaming.metrics import Metrics
+
+    store, source, metrics = LogStore(spark, str(tmp_path / "s")), tmp_path / "in", Metrics()
+    source.mkdir()
+    bad = json.dumps({"streams": [{"stream": {"a": "b"}, "values": [[str(NOW), "fine"], ["soon", "not"]]}]})
+    (source / "1.json").write_text("\n".join([body(LINES[:1]), "{", "", bad, body(LINES[1:2])]) + "\n")
+    start_ingest(store, str(source), str(tmp_path / "c"), 5, NOW, bytes_per_batch=1 << 20, metrics=metrics).awaitTermination()
+    assert sorted(r["msg"] for r in store.lines().collect()) == ["cart failed", "cart opened"]
+    assert sorted((r["code"], r["body"]) for r in rejects(store).collect()) == [("INVALID_JSON", "{"), ("INVALID_TIMESTAMP", bad)]
+    assert 'ingest_refused{code="INVALID_JSON"} 1' in metrics.exposition() and "ingest_bodies 2" in metrics.exposition()
+
+
+REFUSED = pytest.mark.parametrize(
     ("text", "code"),
     [
         ("{", "INVALID_JSON"), ("{}", "INVALID_STREAMS"), ('{"streams":{}}', "INVALID_STREAMS"), ('{"streams":[{"stream":[],"values":[]}]}', "INVALID_STREAM"), ('{"streams":[{"stream":{"a":1},"values":[]}]}', "INVALID_STREAM"),
@@ -124,10 +275,41 @@ def test_stream_of_files(spark, tmp_path):
         ('{"streams":[{"stream":{},"values":[["x","m"]]}]}', "INVALID_TIMESTAMP"), ('{"streams":[{"stream":{},"values":[["1","m",{"a":1}]]}]}', "INVALID_METADATA"), ('{"streams":[{"stream":{},"values":[["1",5]]}]}', "INVALID_VALUES"),
     ],
 )
-def test_refused_pushes(text, code):
+
+
+@REFUSED
+def test_refused_pushes(spark, text, code):
+    from pyspark.sql import functions as F
+
     with pytest.raises(InvalidPush) as e:
         check_push(text)
     assert e.value.code == code
+    assert spark.createDataFrame([(text,)], "body string").select(refusal(F.col("body"))).first()[0] == code
+
+
+def test_good_pushes_are_not_refused(spark):
+    from pyspark.sql import functions as F
+
+    texts = [body(LINES), '{"streams":[]}', '{"streams":[{"stream":{},"values":[]}]}', '{"streams":[{"stream":{"a":""},"values":[["1",""],["2","m",{}],["3","m",{"k":"v"}]]}],"more":1}']
+    for t in texts:
+        check_push(t)
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "body string").select(refusal(F.col("body"))).collect()] == [None] * len(texts)
+
+
+def test_snappy_bodies(spark, tmp_path):
+    import pyarrow as pa
+
+    e = LogEngine(LogStore(spark, str(tmp_path / "s")))
+    raw = body(LINES[:2] * 40).encode()
+    e.ingest_push(pa.compress(raw, "snappy", asbytes=True), 5, "application/json", "snappy")
+    assert json.loads(e.waiting[0][1]) == json.loads(raw)
+
+
+def test_presets_are_ranges():
+    from logweir.lang.times import PRESETS
+
+    starts = [parse(f"[{bound},now] {{a=b}}", NOW).start for bound in PRESETS.values()]
+    assert starts == sorted(starts, reverse=True) and starts[-1] == 0 and NOW - starts[3] == 60 * MINUTE
 
 
 def test_small_parts():
