@@ -15,6 +15,7 @@ QUERIES = {
     "op8_kneser_ney_toxicity": toxicity.op8_kneser_ney_toxicity,
     "op9_additive_quality": quality_model.op9_additive_quality,
     "op10_sentencepiece_tokenizers": sentencepieces.op10_sentencepiece_tokenizers,
+    "pieces_whole_text_parity": sentencepieces.pieces_whole_text_parity,
 }
 ORACLES = {
     "op3_host_quality_rules": quality_rules.ORACLE,
