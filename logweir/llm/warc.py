@@ -1,9 +1,11 @@
 """Legacy archives: ARC files, versions 1 and 2, read by their version-specific header lines and declared lengths, and
 converted to WARC records with identifiers, timestamps, types and digests of the same content.
 
-Archives are binary rows of about one to a few megabytes on the way, and files of the text sink when written: a record
-ends in CRLF CRLF, which is the sink's line separator, so the files are plain concatenations of records (compressed
-with gzip). They are read back whole, file by file, by declared lengths, so payloads may hold anything.
+The version block becomes a warcinfo record, HTTP messages become responses, whose payload is what follows the HTTP head,
+and anything else (name look-ups, files) a resource. Archives are binary rows of about one to a few megabytes on the way.
+Written files hold one gzip member for each record, so records can be sought; the text sink writes them, whose line
+separator is the zero byte that ends every member. They are read back whole, file by file, by declared lengths, so payloads
+may hold anything.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,6 +35,13 @@ LEAST_REVISIT = 100
 #: About so many bytes of payload go to one archive file.
 FILE_BYTES = 4 << 20
 DATE = "20240101000000"
+HTTP = "application/http; msgtype=response"
+_IP = r"(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]*|-)"
+#: Header lines: old URLs and content types may hold spaces.
+_LINES = {
+    1: re.compile(rf"(?P<url>.*) {_IP} (?P<date>[0-9]{{8,14}}) (?P<kind>.*) (?P<length>[0-9]+)"),
+    2: re.compile(rf"(?P<url>.*) {_IP} (?P<date>[0-9]{{8,14}}) (?P<kind>.*) (?P<code>\S+) (?P<sum>\S+) (?P<to>\S+) (?P<at>\S+) (?P<file>\S+) (?P<length>[0-9]+)"),
+}
 
 
 def url_field(url: str | None, page: int | None) -> str:
@@ -41,31 +51,47 @@ def url_field(url: str | None, page: int | None) -> str:
     return "".join(c if c > " " and c != "\x7f" and not c.isspace() else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
+def http_block(payload: bytes) -> bytes:
+    """An HTTP message with this body, as archives hold it."""
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+
+
+def split_http(block: bytes) -> tuple[bytes, bytes]:
+    """Head, with the empty line that ends it, and body of an HTTP message; without such a line all is head."""
+    ends = [(block.find(x), len(x)) for x in (b"\r\n\r\n", b"\n\n")]
+    at = min((i + n for i, n in ends if i >= 0), default=len(block))
+    return block[:at], block[at:]
+
+
 def arc_file(name: str, version: int, records: list[tuple[str, bytes]]) -> bytes:
-    """An ARC file: the version block, then (url, payload) records."""
+    """An ARC file: the version block, then (url, block) records."""
     head = f"{version} 0 origin\n{ARC_FIELDS[version]}\n\n".encode()
     fixed = "text/plain" if version == 1 else f"text/plain 200 - - 0 {name}"
     parts = [f"filedesc://{name} 0.0.0.0 {DATE} {fixed} {len(head)}\n".encode(), head, b"\n"]
     at = sum(map(len, parts))
-    for url, payload in records:
-        middle = "text/html" if version == 1 else f"text/html 200 {hashlib.md5(payload).hexdigest()} - {at} {name}"
-        line = f"{url} 0.0.0.0 {DATE} {middle} {len(payload)}\n".encode()
-        parts += [line, payload, b"\n"]
-        at += len(line) + len(payload) + 1
+    for url, block in records:
+        middle = "text/html" if version == 1 else f"text/html 200 {hashlib.md5(block).hexdigest()} - {at} {name}"
+        line = f"{url} 0.0.0.0 {DATE} {middle} {len(block)}\n".encode()
+        parts += [line, block, b"\n"]
+        at += len(line) + len(block) + 1
     return b"".join(parts)
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and payload of each record after the version block. Raises ValueError on a bad block, line or length."""
+    """url, ip, date, kind (and in version 2 code, sum, to, at, file) and block of each record, that of the version block first.
+
+    Raises ValueError on a bad version block, line or length.
+    """
     line, at = _line(data, 0)
     if not line.startswith("filedesc://"):
         raise ValueError("an ARC file starts with a filedesc line")
     length = int(line.rsplit(" ", 1)[1])
-    block = data[at : at + length].decode("utf-8", "replace").split("\n")
-    version = int(block[0].split(" ")[0])
+    first = data[at : at + length].split(b"\n")[0].split(b" ")[0]
+    version = int(first) if first.isdigit() else 0
     if version not in ARC_FIELDS:
         raise ValueError(f"ARC version {version} is unknown")
-    names = block[1].split(" ")
+    url, ip, date, *rest = line.split(" ")
+    yield {"url": url, "ip": ip, "date": date, "kind": rest[0], "version": str(version)}, data[at : at + length]
     at += length
     while True:
         while data[at : at + 1] == b"\n":
@@ -73,11 +99,11 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if at >= len(data):
             return
         line, at = _line(data, at)
-        values = line.rsplit(" ", len(names) - 1)  # old URLs may hold spaces
-        if len(values) != len(names):
-            raise ValueError(f"a version {version} line has {len(names)} fields: {line[:80]!r}")
-        fields = dict(zip(names, values, strict=True))
-        length = int(fields["Archive-length"])
+        m = _LINES[version].fullmatch(line)
+        if not m:
+            raise ValueError(f"no header line of version {version}: {line[:80]!r}")
+        fields = m.groupdict()
+        length = int(fields.pop("length"))
         if at + length > len(data):
             raise ValueError("a record is shorter than its declared length")
         yield fields, data[at : at + length]
@@ -103,18 +129,44 @@ def record_id(url: str, date: str, digest: str, key: str = "") -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {digest} {key}')}>"
 
 
-def warc_record(fields: dict[str, str], payload: bytes, key: str, refers_to: str | None) -> bytes:
-    """A WARC record without its closing CRLF CRLF: a response, or a revisit that holds no payload but its length."""
+def warc_record(fields: dict[str, str], block: bytes, key: str = "", refers: tuple[str, str, str] | None = None) -> bytes:
+    """A WARC record of an ARC record.
+
+    key: a page's id, noted in the record. refers: id, URL and ARC date of the page whose payload this one repeats; the record
+    is then a revisit, which holds the HTTP head alone.
+    """
+    date = warc_date(fields["date"])
+    more: list[str] = []
+    payload = block
+    if fields["url"].startswith("filedesc:"):
+        kind, content = "warcinfo", "application/warc-fields"
+        payload = block = f"software: logweir\r\nformat: WARC File Format 1.1\r\nconverted-from: ARC version {fields['version']}\r\n".encode()
+        more.append(f"WARC-Filename: {fields['url'].removeprefix('filedesc://')}")
+    elif block.startswith(b"HTTP/"):
+        kind, content = "response", HTTP
+        head, payload = split_http(block)
+    else:
+        kind, content = "resource", "text/dns" if fields["url"].startswith("dns:") else fields["kind"]
     digest = hashlib.sha256(payload).hexdigest()
-    date = warc_date(fields["Archive-date"])
-    block = b"" if refers_to is not None else payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(fields['URL'], date, digest, key)}", f"WARC-Date: {date}", f"WARC-Target-URI: {fields['URL']}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}", f"Content-Type: {fields['Content-type']}", f"X-Payload-Length: {len(payload)}", f"X-Page: {key}"]
-    if fields.get("IP-address", "0.0.0.0") != "0.0.0.0":
-        head.append(f"WARC-IP-Address: {fields['IP-address']}")
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
-    head.append(f"Content-Length: {len(block)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block
+    name = record_id(fields["url"], date, digest, key)
+    if kind != "warcinfo":
+        more += [f"WARC-Target-URI: {fields['url']}", f"WARC-Payload-Digest: sha256:{digest}"]
+        if fields["ip"] not in ("0.0.0.0", "-"):
+            more.append(f"WARC-IP-Address: {fields['ip']}")
+    if refers is not None:
+        page, url, then = refers
+        kind, block = "revisit", head if content == HTTP else b""
+        more += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(url, warc_date(then), digest, page)}", f"WARC-Refers-To-Target-URI: {url}", f"WARC-Refers-To-Date: {warc_date(then)}", f"X-Refers-To-Page: {page}"]
+    if key:
+        more += [f"X-Payload-Length: {len(payload)}", f"X-Page: {key}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}", *more, f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}", f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def member(record: bytes) -> bytes:
+    """A gzip member that ends in a zero byte, as all of under 16 MiB do; after larger ones an empty member follows."""
+    made = gzip.compress(record, 5, mtime=0)
+    return made if made[-1] == 0 else made + gzip.compress(b"", mtime=0)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -139,46 +191,55 @@ def unpacked(data: bytes) -> bytes:
 
 
 def to_arc(pages: DataFrame) -> DataFrame:
-    """name, pages, refers and content: ARC files of pages (page_id, url, html, refers_to), of both versions in turn."""
+    """pages, refers, refers_urls and content: ARC files of pages (page_id, url, html, refers_to, refers_url), of both versions in turn."""
+    ids, names = pa.list_(pa.int64()), pa.list_(pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, urls, refers = (b.column(i).to_pylist() for i in (0, 1, 3))
+            page, urls, refers, refers_urls = (b.column(i).to_pylist() for i in (0, 1, 3, 4))
             payloads = [x or b"" for x in b.column(2).cast(pa.binary()).to_pylist()]
             lo = size = 0
             for i, p in enumerate(payloads):
                 size += len(p)
-                if size >= FILE_BYTES // 4 or i == len(ids) - 1:
-                    version = 1 + zlib.crc32(str(ids[lo]).encode()) % 2
-                    name = f"pages-{ids[lo]}.arc"
-                    content = arc_file(name, version, [(url_field(urls[k], ids[k]), payloads[k]) for k in range(lo, i + 1)])
-                    yield pa.RecordBatch.from_pydict({"name": pa.array([name], pa.string()), "pages": pa.array([ids[lo : i + 1]], pa.list_(pa.int64())), "refers": pa.array([refers[lo : i + 1]], pa.list_(pa.int64())), "content": pa.array([content], pa.binary())})
+                if size >= FILE_BYTES // 4 or i == len(page) - 1:
+                    version = 1 + zlib.crc32(str(page[lo]).encode()) % 2
+                    content = arc_file(f"pages-{page[lo]}.arc", version, [(url_field(urls[k], page[k]), http_block(payloads[k])) for k in range(lo, i + 1)])
+                    yield pa.RecordBatch.from_pydict({"pages": pa.array([page[lo : i + 1]], ids), "refers": pa.array([refers[lo : i + 1]], ids), "refers_urls": pa.array([refers_urls[lo : i + 1]], names), "content": pa.array([content], pa.binary())})
                     lo, size = i + 1, 0
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "name string, pages array<long>, refers array<long>, content binary")
+    return pages.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(run, "pages array<long>, refers array<long>, refers_urls array<string>, content binary")
+
+
+def converted(content: bytes) -> Iterator[bytes]:
+    """WARC records of any ARC file."""
+    for fields, block in parse_arc(unpacked(content)):
+        yield warc_record(fields, block)
 
 
 def convert(arcs: DataFrame) -> DataFrame:
-    """A column value of WARC records, without their closing CRLF CRLF, from ARC files (pages, refers, content)."""
+    """A column value of gzip members without their last byte, one for each WARC record, from ARC files of pages (pages, refers, refers_urls, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for pages, refers, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                out = []
-                for (fields, payload), page, refer in zip(parse_arc(unpacked(content.as_py())), pages, refers, strict=True):
-                    out.append(warc_record(fields, payload, "" if page is None else str(page), None if refer is None else str(refer)))
-                yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
+            for pages, refers, urls, content in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+                records = parse_arc(unpacked(content.as_py()))
+                out = [member(warc_record(*next(records)))[:-1]]
+                for (fields, block), page, refer, url in zip(records, pages, refers, urls, strict=True):
+                    out.append(member(warc_record(fields, block, "" if page is None else str(page), None if refer is None else (str(refer), url_field(url, refer), DATE)))[:-1])
+                raw = pa.array(out, pa.binary())
+                # The text sink takes strings and writes their bytes as they are.
+                yield pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(len(raw), *raw.buffers()[1:])], names=["value"])
 
-    return arcs.select("pages", "refers", "content").mapInArrow(run, "value binary").select(F.expr("cast(value AS string)").alias("value"))
+    return arcs.select("pages", "refers", "refers_urls", "content").mapInArrow(run, "value string")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Files of records; a lost task writes its file again."""
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+def write_warc(members: DataFrame, path: str) -> None:
+    """Files of gzip members; a lost task writes its file again."""
+    members.write.option("lineSep", "\0").text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, warc_date and record_id of each record of the files.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, warc_date and record_id of the records of pages in the files.
 
     Responses' digests are taken from the payload that was read and must be those declared; a revisit has what it declares.
     """
@@ -188,10 +249,15 @@ def read_warc(spark, path: str) -> DataFrame:
             for content in b.column(0):
                 rows = []
                 for fields, block in parse_warc(unpacked(content.as_py())):
-                    digest, size = fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["X-Payload-Length"])
-                    if fields["WARC-Type"] == "response" and (hashlib.sha256(block).hexdigest() != digest or len(block) != size):
+                    if fields["WARC-Type"] not in ("response", "revisit"):
+                        continue
+                    digest, page, refers = fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields.get("X-Page"), fields.get("X-Refers-To-Page")
+                    _, payload = split_http(block)
+                    size = len(payload)
+                    if fields["WARC-Type"] == "revisit":
+                        size = int(fields["X-Payload-Length"])
+                    elif hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"record {fields['WARC-Record-ID']} doesn't hold what it declares")
-                    page, refers = fields["X-Page"], fields.get("X-Refers-To-Page")
                     rows.append((int(page) if page else None, size, digest, fields["WARC-Type"], int(refers) if refers else None, fields["WARC-Date"], fields["WARC-Record-ID"]))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
                 columns = list(zip(*rows, strict=True)) or [()] * 7
@@ -212,10 +278,10 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     spark = pages.sparkSession
     pages = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
     size = F.octet_length("html")
-    large = written(pages.where((size >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("page_id", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"), size.alias("n")), "digests")
+    large = written(pages.where((size >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "url", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"), size.alias("n")), "digests")
     total = large.agg(F.sum("n")).first()[0] or 0
-    firsts = written(large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last"), "firsts")
-    revisits = written(large.join(firsts, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct(), "revisits")
+    firsts = written(large.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last")).where("first.page_id < last").select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")), "firsts")
+    revisits = written(large.join(firsts, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to", "refers_url").distinct(), "revisits")
     keyed = pages.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).join(revisits, ["page_id", "digest"], "left")
     spread = keyed.repartition(max(1, -(-total // FILE_BYTES)), F.xxhash64("page_id", "digest"))
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
