@@ -1,9 +1,11 @@
 """Personal data by weak supervision.
 
-Four base patterns give spans that always stay. Wider candidates (addresses with spelled-out signs, national phone
-numbers, keyed secrets, titled or listed names, social security numbers, account numbers) are voted on by labelers:
-shape (regex), gazetteer, context and neighbourhood. Expectation-maximisation over vote patterns estimates the
-labelers' reliabilities; its posteriors train a logistic span classifier, which decides on the candidates.
+Four base patterns give spans that always stay. Wide patterns give candidates, most of which need not be personal data:
+any word before a domain after "at", groups of digits, long words with digits and values after a key, pairs of capitalised
+words. Four labelers, each of which looks at something else, vote yes or no on a candidate or abstain: its letters and
+digits, lists of known names and formats, the words before it, and what touches it. Expectation-maximisation over vote
+patterns estimates how reliable the labelers are for each kind; its posteriors train a logistic span classifier, which
+decides on the candidates.
 """
 
 from __future__ import annotations
@@ -34,36 +36,53 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 # What follows the local part of a spelled-out address.
-_AT = re.compile(r" ?[\[(] ?[Aa][Tt] ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(] ?[Dd][Oo][Tt] ?[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,4}")
+_AT = re.compile(r"(?: ?[\[(] ?[Aa][Tt] ?[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(] ?[Dd][Oo][Tt] ?[\])] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}")
 # Candidates beyond the base: kind, a literal that must be there, the pattern, the group that is the span.
 _WIDE = (
-    ("secret", "=", re.compile(r"\b([A-Za-z_-]{2,24}) ?= ?[\"']?([^\s\"'=]{8,}+)[\"']?"), 2),
-    ("secret", ":", re.compile(r"\b([A-Za-z_-]{2,24}) ?: ?[\"']?([^\s\"':]{8,}+)[\"']?"), 2),
+    ("secret", "=", re.compile(r"\b([A-Za-z_-]{2,24}) ?= ?[\"']?([^\s\"'=]{6,}+)[\"']?"), 2),
+    ("secret", ":", re.compile(r"\b([A-Za-z_-]{2,24}) ?: ?[\"']?([^\s\"':]{6,}+)[\"']?"), 2),
 )
 _WIDE_DIGITS = (
-    ("phone", re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"), 0),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"), 0),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), 0),
     ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"), 0),
+    ("phone", re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ .-])[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,3}(?![0-9-])"), 0),
 )
-_TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\. ([A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?)")
+_PAIR = re.compile(r"\b[A-Z][^\W\d_]{1,30} [A-Z](?:[^\W\d_]|['-](?=[^\W\d_]))++")
+_TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\. ([A-Z][a-z]{1,30})(?! [A-Z][a-z])")
 
 # Gazetteers and context words.
 TOP_DOMAINS = frozenset("com org net edu gov io co info biz uk de fr es it nl eu us ca au jp cn in br ru ch se no pl".split())
-SECRET_KEYS = frozenset("password passwd pwd pass token secret apikey api_key api-key key access_key auth credential credentials bearer".split())
+SECRET_KEYS = frozenset("password passwd pwd pass token secret apikey api-key key access-key auth credential credentials bearer".split())
+OTHER_KEYS = frozenset("id sha sha1 sha256 md5 commit revision version build date time isbn doi page model part sku order ref file path hash digest etag".split())
+SECRET_STARTS = ("ghp_", "gho_", "sk-", "AKIA", "xoxb-", "xoxp-", "eyJ", "AIza")
 FIRST_NAMES = frozenset("James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Maria Anna Peter Paul Hans Pierre Juan Carlos".split())
-_LISTED = re.compile(rf"\b(?:{'|'.join(sorted(FIRST_NAMES))}) [A-Z](?:[^\W\d_]|['-](?=[^\W\d_]))++")
+NOT_NAMES = frozenset("The This That New Old Great Saint North South East West Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December United Los San Las".split())
+NOT_SURNAMES = frozenset("Street Road Avenue Square Park River Lake University College School Institute Inc Ltd Corp Company City County Times Post Bank House Hall".split())
+PLAIN_WORDS = frozenset("look is was are be meet arrive stay live work call stand at it here us me them him her available located hosted found".split())
 COUNTRIES = frozenset("AT BE CH CZ DE DK ES FI FR GB GR HU IE IT LU NL NO PL PT RO SE".split())
+TITLES = frozenset("mr mrs ms dr prof".split())
 CONTEXT = {
     "email": frozenset("email e-mail mail contact write reach".split()),
     "ip": frozenset("ip address host server from".split()),
     "card": frozenset("card visa mastercard credit payment".split()),
     "phone": frozenset("phone tel telephone call mobile fax cell".split()),
-    "secret": frozenset("login password token key secret credentials".split()),
-    "person": frozenset("name contact by from dear regards signed author".split()),
+    "secret": SECRET_KEYS | {"login", "credentials"},
+    "person": frozenset("name contact by from dear regards signed author met told asked".split()) | TITLES,
     "ssn": frozenset("ssn social security".split()),
     "iban": frozenset("iban account bank transfer".split()),
 }
-_WORD = re.compile(r"[A-Za-z-]+")
+#: Words before a candidate that speak against its kind.
+AGAINST = {
+    "phone": frozenset("isbn order invoice version page pages item part no room total between score year years".split()),
+    "secret": OTHER_KEYS,
+    "person": frozenset("in at the near to visit via street city".split()),
+    "ssn": frozenset("order part item invoice no sku serial".split()),
+    "iban": frozenset("order part item serial model".split()),
+}
+_WORD = re.compile(r"[A-Za-z][A-Za-z0-9-]*")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[ .-][01]?[0-9][ .-][0-3]?[0-9]|[0-3]?[0-9][ .-][01]?[0-9][ .-](?:19|20)[0-9]{2}")
+_FILE = re.compile(r"\.[A-Za-z]{1,4}$|^[a-z]+(?:[-_/][a-z0-9]+)+$")
 
 Span = tuple[int, int, str]
 
@@ -109,7 +128,7 @@ def base_spans(text: str) -> list[Span]:
 def candidates(text: str, base: list[Span]) -> list[Span]:
     """Wider candidates that overlap no base span, leftmost first; of overlapping ones the earlier, then the longer."""
     wide: list[Span] = []
-    if "(" in text or "[" in text:
+    if "(" in text or "[" in text or " at " in text:
         free = 0
         for m in _AT.finditer(text):  # the local part is the whole run before
             start = m.start()
@@ -120,59 +139,99 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
                 free = m.end()
     for kind, literal, pattern, group in _WIDE:
         if literal in text:
-            wide += [(m.start(group), m.end(group), kind) for m in pattern.finditer(text) if kind != "secret" or _looks_keyed(m)]
+            wide += [(m.start(group), m.end(group), kind) for m in pattern.finditer(text)]
     if _DIGIT.search(text):
         for kind, pattern, group in _WIDE_DIGITS:
-            wide += [(m.start(group), m.end(group), kind) for m in pattern.finditer(text)]
+            wide += [(m.start(group), m.end(group), kind) for m in pattern.finditer(text) if kind != "phone" or 7 <= len(_digits(m.group())) <= 15]
+    if " " in text:
+        wide += [(m.start(), m.end(), "person") for m in _PAIR.finditer(text)]
     if ". " in text:
         wide += [(m.start(1), m.end(1), "person") for m in _TITLED.finditer(text)]
-    if " " in text:
-        wide += [(m.start(), m.end(), "person") for m in _LISTED.finditer(text)]
     if not wide:
         return []
-    out, free, taken = [], 0, [(s, e) for s, e, _ in base]
-    for s, e, kind in sorted(wide, key=lambda x: (x[0], -x[1], ORDER[x[2]])):
-        if s >= free and not any(s < b and a < e for a, b in taken):
+    out, free, k = [], 0, 0
+    base = sorted(base)
+    for s, e, kind in sorted(wide, key=lambda x: (x[0], -x[1], x[2] == "phone", ORDER[x[2]])):
+        while k < len(base) and base[k][1] <= s:  # ends of base spans rise but for those inside others
+            k += 1
+        if s >= free and not any(s < b and a < e for a, b, _ in base[max(0, k - 4) : k + 4]):
             out.append((s, e, kind))
             free = e
     return out
 
 
-def _looks_keyed(m: re.Match) -> bool:
-    value = m.group(2)
-    return m.group(1).lower() in SECRET_KEYS or any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and len(value) >= 16
-
-
 def votes(text: str, span: Span) -> tuple[int, int, int, int]:
-    """What shape, gazetteer, context and neighbourhood labelers say: 1 yes, 0 no, 2 abstains."""
+    """What the labelers of letters and digits, of lists, of the words before and of what touches a span say: 1 yes, 0 no, 2 abstains."""
     s, e, kind = span
-    value, before = text[s:e], text[max(0, s - 48) : s]
+    value, before = text[s:e], text[max(0, s - 64) : s]
+    return _shape(kind, value), _listed(kind, value), _context(kind, before), _touching(kind, value, text[max(0, s - 2) : s], text[e : e + 12])
+
+
+def _shape(kind: str, value: str) -> int:
     digits = _digits(value)
-    words = [w.lower() for w in _WORD.findall(before)]
     if kind == "email":
-        shape, known = int("@" in value or "at" in value.lower()), int(re.split(r"[^A-Za-z]+", value.rstrip(")] "))[-1].lower() in TOP_DOMAINS)
-    elif kind == "ip":
-        shape, known = int(value.count(".") == 3), 2 if value.startswith("0.") else 1
-    elif kind == "card":
-        shape, known = int(luhn(digits)), int(digits[0] in "3456")
-    elif kind == "phone":
-        shape, known = int(10 <= len(digits) <= 15), 2 if len(digits) != 10 and value[0] == "+" and digits[0] != "1" else int(digits[-10] not in "01")
-    elif kind == "secret":
-        shape = int(len(value) >= 12 and len(set(value)) >= 6)
-        key = _WORD.findall(before.replace("_", "-"))
-        known = int(bool(key) and key[-1].lower().replace("_", "-") in {k.replace("_", "-") for k in SECRET_KEYS})
-    elif kind == "person":
-        shape, known = int(value[:1].isupper()), int(value.split()[0] in FIRST_NAMES) or 2
-    elif kind == "ssn":
-        shape, known = int(value[:3] not in ("000", "666") and value[0] != "9"), int(value[4:6] != "00" and value[7:] != "0000")
-    else:
-        compact = value.replace(" ", "")
-        number = "".join(str(int(c, 36)) for c in compact[4:] + compact[:4])
-        shape, known = int(int(number) % 97 == 1), int(compact[:2] in COUNTRIES)
-    context = 1 if CONTEXT[kind].intersection(words[-6:]) else 2
-    left, right = text[s - 1 : s], text[e : e + 1]
-    apart = 0 if left.isalnum() or right.isalnum() else 1
-    return shape, known, context, apart
+        return int("@" in value or "(" in value or "[" in value)
+    if kind == "ip":
+        return int(value.count(".") == 3)
+    if kind == "card":
+        return int(luhn(digits))
+    if kind == "phone":
+        return 0 if _DATE.fullmatch(value) or not 9 <= len(digits) <= 13 else 1 if value[0] in "+(" or len(digits) == 10 and len(digits) == len(value) - 2 else 2
+    if kind == "secret":
+        mixed = any(c.isalpha() for c in value) and bool(digits)
+        return int(mixed and len(value) >= 12 and len(set(value)) >= 8)
+    if kind == "person":
+        return int(all(2 <= len(w) <= 20 and (w[1:].islower() or not w.isalpha()) for w in value.split()))
+    if kind == "ssn":
+        return int(value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" and value[7:] != "0000")
+    compact = value.replace(" ", "")
+    return int(int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1)
+
+
+def _listed(kind: str, value: str) -> int:
+    digits = _digits(value)
+    if kind == "email":
+        return int(re.split(r"[^A-Za-z]+", value.rstrip(")] "))[-1].lower() in TOP_DOMAINS)
+    if kind == "ip":
+        return 2 if value.startswith("0.") else 1
+    if kind == "card":
+        return int(digits[0] in "3456")
+    if kind == "phone":
+        return 2 if len(digits) != 10 else int(digits[0] not in "01")
+    if kind == "secret":
+        body = value.strip("\"'.,;")
+        if body.startswith(SECRET_STARTS):
+            return 1
+        return 0 if _FILE.search(body) or body.isalpha() or body.isdigit() else 2
+    if kind == "person":
+        first, *rest = value.split()
+        return 0 if first in NOT_NAMES or rest and rest[-1] in NOT_SURNAMES else int(first in FIRST_NAMES) if rest else 2
+    if kind == "ssn":
+        return 2
+    return int(value[:2] in COUNTRIES)
+
+
+def _context(kind: str, before: str) -> int:
+    words = [w.lower() for w in _WORD.findall(before.replace("_", "-"))]
+    last = set(words[-1:] if kind in ("secret", "person") else words[-2:])
+    if last & AGAINST.get(kind, frozenset()):
+        return 0
+    return 1 if CONTEXT[kind].intersection(words[-3:] if kind == "person" else words[-6:]) else 0 if kind == "person" else 2
+
+
+def _touching(kind: str, value: str, left: str, right: str) -> int:
+    if left[-1:].isalnum() or right[:1].isalnum() and kind != "person":
+        return 0
+    if kind == "email":
+        local = re.split(r"[ \[(]", value)[0]
+        return 0 if local.lower() in PLAIN_WORDS else 1 if any(c in "._+-0123456789" for c in local) else 2
+    if kind == "secret":
+        return 0 if left[-1:] in ("/", "#", "@") or right[:1] in ("/", "(") else 1 if left[-1:] in ('"', "'") and right[:1] == left[-1:] else 2
+    if kind == "person":
+        return 0 if re.match(r" (?:[A-Z]|Inc|Ltd|Corp)", right) else 1 if right[:2] == "'s" or re.match(r",? (?:said|wrote|told|asked|signed|born|aged)", right) else 2
+    if kind in ("phone", "ssn", "iban"):
+        return 0 if left[-1:] in ("$", "#", "/", "€", "£") or right[:1] in ("%", "/") else 2
+    return 1
 
 
 def pattern(text: str, span: Span, is_base: bool) -> tuple[int, ...]:
