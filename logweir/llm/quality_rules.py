@@ -1,7 +1,8 @@
 """Host-level quality rules over documents, with DataFrame expressions only.
 
 Per-text measures feed per-document rules; rule failures are summed by host, each host's failure rate is shrunk
-with a beta prior that is fitted to all hosts by the method of moments, and the host's verdict is joined back.
+with a beta prior that is fitted to all hosts by the method of moments, and the host's verdict, which compares its odds
+of failure with those of the prior, is joined back.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from .common import table, written
 
 _WORDS = r"filter(split({t}, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
 _LINES = r"filter(split({t}, '\n'), x -> btrim(x, ' \t\n\u000B\u000C\r') <> '')"
+#: Documents that the prior weighs as at least.
+LEAST_WEIGHT = 10.0
 #: Bind: evaluates an expression once and names it.
 _BIND = "element_at(transform(array({value}), {name} -> {body}), 1)"
 #: Words covered by windows of five that occur twice: hashes of all windows, equal neighbours after a sort, union of their words.
@@ -36,13 +39,15 @@ def measures(text: str = "text") -> Column:
     return F.expr(f"named_struct('w', {words}, 'l', {lines}, 'n_symbols', {symbols}, 'n_upper', {upper})")
 
 
-def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_percent: int = 20, max_symbol_percent: int = 10, max_dup_line_percent: int = 30, max_upper_percent: int = 50, reject_rate: float = 0.5, forgive_rate: float = 0.02) -> DataFrame:
-    """One row for each input row: id, measures, base_failed, failures, host_rate, host_rejected and kept.
+def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_percent: int = 20, max_symbol_percent: int = 10, max_dup_line_percent: int = 30, max_upper_percent: int = 50, reject_odds: float = 6.0, distrust_odds: float = 1.1) -> DataFrame:
+    """One row for each input row: id, measures, base_failed, failed, host_rate, host_distrusted, host_rejected and kept.
 
     Base rules: too few words, or too many of them in repeated five-word windows. Further rules: symbols against words,
     repeated lines against lines, capitals against characters of words. A host's rate is the share of its documents that
-    fail any rule, shrunk to (failures + a) / (documents + a + b). A host whose rate reaches reject_rate loses all its
-    documents; on one whose rate reaches forgive_rate, documents that fail any rule go; elsewhere only base failures go.
+    fail any rule, shrunk to (failures + a) / (documents + a + b); the prior's mean is a / (a + b). A host is rejected, with
+    all its documents, if the odds of its rate are reject_odds times those of the mean, or more; it is distrusted from
+    distrust_odds times on: its documents that fail any rule go. Elsewhere further failures are forgiven and only base
+    failures go. Where all hosts fail alike, none is worse than the mean.
 
     Null or empty hosts count as one host; null texts as empty ones, which fail. Repeated rows and ids are kept as they
     are, an empty table gives an empty table, and other columns of the input are ignored. Windows are compared by 64-bit
@@ -57,26 +62,28 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     m = written(m.withColumn("base_failed", base).withColumn("failed", base | more), "rules")
     hosts = written(m.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("k")), "hosts")
     a, b = beta_prior(hosts)
+    mean = a / (a + b)
     rate = (c("k") + F.lit(a)) / (c("n") + F.lit(a + b))
-    verdicts = hosts.select(c("host").alias("verdict_host"), rate.alias("host_rate"))
+    worse = lambda odds: (c("host_rate") > mean) & (c("host_rate") * (1 - mean) >= odds * mean * (1 - c("host_rate")))
+    verdicts = hosts.select(c("host").alias("verdict_host"), rate.alias("host_rate")).select("*", worse(distrust_odds).alias("host_distrusted"), worse(reject_odds).alias("host_rejected"))
     out = m.join(verdicts, c("host") == c("verdict_host"), "left").drop("verdict_host")
-    rejected = c("host_rate") >= reject_rate
-    return out.withColumn("host_rejected", rejected).withColumn("kept", ~c("base_failed") & ~c("host_rejected") & ~(c("failed") & (c("host_rate") >= forgive_rate)))
+    return out.withColumn("kept", ~c("base_failed") & ~c("host_rejected") & ~(c("failed") & c("host_distrusted")))
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     """a and b of the beta distribution with the mean and variance of the hosts' rates (one row comes to the driver).
 
-    Without spread, or with one host, the prior weighs as a million documents; with more spread than a beta can have, as one.
+    The prior weighs as a + b documents: as LEAST_WEIGHT at least, however much hosts differ, so that a few documents don't
+    condemn a host, and as a million without spread or with one host.
     """
     row = hosts.select((F.col("k") / F.col("n")).alias("r")).agg(F.avg("r").alias("m"), F.var_pop("r").alias("v")).first()
     m, v = (row["m"] or 0.0), (row["v"] or 0.0)
-    weight = 1e6 if v <= 1e-9 else min(1e6, max(1.0, m * (1 - m) / v - 1))
+    weight = 1e6 if v <= 1e-9 else min(1e6, max(LEAST_WEIGHT, m * (1 - m) / v - 1))
     return m * weight, (1 - m) * weight
 
 
 def op3_host_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return host_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
+    return host_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed", "kept", "host_distrusted", "host_rejected")
 
 
 ORACLE = r"""
@@ -93,9 +100,10 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 f AS (SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_upper > 50 * word_chars AS failed FROM b),
 h AS (SELECT host, count(*) AS n, sum(CAST(failed AS BIGINT)) AS k FROM f GROUP BY host),
 s AS (SELECT avg(k / n) AS mu, var_pop(k / n) AS v FROM h),
-q AS (SELECT mu, CASE WHEN v <= 1e-9 THEN 1e6 ELSE least(1e6, greatest(1.0, mu * (1 - mu) / v - 1)) END AS weight FROM s),
-z AS (SELECT host, (k + mu * weight) / (n + weight) AS rate FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT rate >= 0.5 AND NOT (failed AND rate >= 0.02) AS kept, rate >= 0.5 AS host_rejected
-FROM f JOIN z ON f.host = z.host
+q AS (SELECT mu, CASE WHEN v <= 1e-9 THEN 1e6 ELSE least(1e6, greatest(10.0, mu * (1 - mu) / v - 1)) END AS weight FROM s),
+z AS (SELECT host, mu, (k + mu * weight) / (n + weight) AS rate FROM h, q),
+v AS (SELECT host, rate > mu AND rate * (1 - mu) >= 1.1 * mu * (1 - rate) AS host_distrusted, rate > mu AND rate * (1 - mu) >= 6.0 * mu * (1 - rate) AS host_rejected FROM z)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed,
+  NOT base_failed AND NOT host_rejected AND NOT (failed AND host_distrusted) AS kept, host_distrusted, host_rejected
+FROM f JOIN v ON f.host = v.host
 """
