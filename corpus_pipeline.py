@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.llm import decontaminate, near_dup, pii, sentencepieces, toxicity
-from logweir.llm.common import table, written
+from logweir.llm.common import table, without_ids, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id. Rows without an id stay."""
-    gone = near_dup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(written(gone, "gone"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return without_ids(docs, written(gone, "gone"), "doc_id")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
