@@ -129,13 +129,16 @@ class LogStore:
         self._carry_on(name)
 
     def _renamed(self, fs, source, target) -> None:
-        if not fs.rename(source, target):
+        """Moves a file, unless another driver that carries on the same journal has done so."""
+        if not fs.rename(source, target) and (fs.exists(source) or not fs.exists(target)):
             raise OSError(f"{source} could not be moved to {target}")
 
     def _carry_on(self, name: str) -> None:
         """The steps of a journal that are still to be taken; each may have been taken before."""
         fs = self._fs()
         journal_path = self._path(f"{self.path}/journal/{name}")
+        if not fs.exists(journal_path):
+            return
         data = fs.open(journal_path)
         journal = json.loads(bytes(data.readAllBytes()))
         data.close()
