@@ -19,5 +19,7 @@ QUERIES = {
 }
 ORACLES = {
     "op3_host_quality_rules": quality_rules.ORACLE,
+    "op4_odd_sketch_near_dup": near_dup.ORACLE,
+    "op5_repeated_phrase_automata": repeats.ORACLE,
     "op7_arc_to_warc": warc.ORACLE,
 }

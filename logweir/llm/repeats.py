@@ -281,3 +281,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op5_repeated_phrase_automata(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50),
+g AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) AS s FROM p),
+f AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s),
+r AS (SELECT DISTINCT doc_id, i + o AS k FROM (SELECT g.doc_id, g.i, unnest(range(0, 50)) AS o FROM g JOIN f ON f.s = g.s WHERE f.first < g.doc_id)),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM d),
+t AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.k) AS kept, count(*) AS n FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.k = w.k WHERE r.k IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(t.n, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
