@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweir.sources.store import shared_dir
+
 #: Bytes of text that are looked at as one chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 #: Bytes that are hashed at once, whatever the chunk.
@@ -26,14 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's. ValueError if neither is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return found
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here, and lost executors cost nothing before it."""
     spark = df.sparkSession
@@ -107,7 +101,7 @@ def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         if hi - lo > SLICE_BYTES:
             for at in range(lo, hi, SLICE_BYTES):
                 part = data[at : min(hi, at + SLICE_BYTES)]
-                out[i] += (letters(part) * _places(at - lo, len(part))).sum()
+                out[i : i + 1] += (letters(part) * _places(at - lo, len(part))).sum()
         else:
             s, e = start[i:j] - lo, end[i:j] - lo
             place = np.arange(hi - lo, dtype=np.int32)
