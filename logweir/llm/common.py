@@ -5,8 +5,11 @@ A word is a maximal run of bytes outside ``\\x20`` and ``\\x09-\\x0D``; null tex
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,10 @@ from logweir.sources.store import shared_dir
 CHUNK_BYTES = 1 << 20
 #: Bytes that are hashed at once, whatever the chunk.
 SLICE_BYTES = 128 << 10
+#: Rows whose texts are Python's strings at once.
+FEW_ROWS = 256
+#: What an operator's tasks keep in their worker for later ones, by its module.
+KEPT: dict[str, dict] = {}
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -46,6 +53,43 @@ def dropped(*tables: DataFrame) -> None:
             folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, as far as the allocators can tell."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):  # only glibc has it
+        trim(0)
+
+
+def forget_others(module: str) -> None:
+    """Lets go what the other operators keep."""
+    for owner, held in KEPT.items():
+        if owner != module:
+            held.clear()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a task's pass over its batches, that gives back what it has freed, and before it what other operators' tasks
+    have kept: a worker outlives its tasks, and would hold the most that one of them took while later stages need it
+    elsewhere on the executor."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(run.__module__)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of FEW_ROWS."""
+    for b in batches:
+        for at in range(0, b.num_rows, FEW_ROWS):
+            yield b.slice(at, FEW_ROWS)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}

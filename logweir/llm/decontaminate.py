@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix, spans_hash, table, without_ids, written
+from .common import Words, chunks, mix, spans_hash, table, tidy, without_ids, written
 
 BLOCK = 32
 DIMS, RANK, OVERSAMPLE = 1 << 15, 64, 16
@@ -130,6 +130,7 @@ def _slices(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"slice": pa.array(used, pa.int32()), "part": pa.array([parts[k].tobytes() for k in used], pa.binary())})
 
 
+@tidy
 def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
@@ -147,7 +148,7 @@ def _summed(texts: DataFrame, product, width: int) -> np.ndarray:
     held = texts.coalesce(3 * texts.sparkSession.sparkContext.defaultParallelism)
     kind = "slice int, part binary"
     z = np.zeros((DIMS // SLICE + 1, SLICE * width))
-    for row in held.mapInArrow(product, kind).repartition(F.col("slice")).mapInArrow(_sum_slices, kind).toArrow().to_pylist():
+    for row in held.mapInArrow(tidy(product), kind).repartition(F.col("slice")).mapInArrow(_sum_slices, kind).toArrow().to_pylist():
         part = np.frombuffer(row["part"], np.float32)
         z[row["slice"], : len(part)] = part
     return z
@@ -369,7 +370,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     if not len(items.ids) or not total:
         return docs.sparkSession.createDataFrame([], schema)
     idf = np.log1p(total / (1 + df))
-    found = docs.mapInArrow(_search(items, idf, df, directions(texts, idf, sums)), schema)
+    found = docs.mapInArrow(tidy(_search(items, idf, df, directions(texts, idf, sums))), schema)
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share"), F.max("answer_share").alias("answer_share"))
 
 

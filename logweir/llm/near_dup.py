@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, dropped, mix, signed, table, windows_hash, written
+from .common import Words, chunks, dropped, mix, signed, table, tidy, windows_hash, written
 from .graph import components, merged
 
 SHINGLE, SAMPLES, ROWS, BITS = 5, 128, 4, 512
@@ -70,6 +70,7 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return signed(mix(key ^ np.arange(SAMPLES // ROWS, dtype=np.uint64)))
 
 
+@tidy
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     longs = pa.list_(pa.int64())
     for b in batches:
@@ -87,6 +88,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(percent: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a = [s for _, _, w in chunks(b.column(2), lower=True) for s in shingles(w)]

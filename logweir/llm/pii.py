@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, texts, written
+from .common import few, table, texts, tidy, written
 
 # The kinds, in the order that ties follow.
 KINDS = ("email", "ip", "card", "phone", "secret", "person", "ssn", "iban")
@@ -296,6 +296,7 @@ def spans_text(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
+@tidy
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter = Counter()
     for b in batches:
@@ -332,8 +333,9 @@ def mask(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame
     schema = docs.schema
     place = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             out = []
             for t in b.column(place).to_pylist():
                 spans = spans_of(t, model) if t else []

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import KEPT, few, table, tidy
 
 MARK = "▁"
 # Piece types and model types of the format.
@@ -284,11 +284,11 @@ class PieceEncoder:
         return self.library.encode(texts, num_threads=1)
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, PieceEncoder] = KEPT.setdefault(__name__, {})
 
 
 def encoder(path: str) -> PieceEncoder:
-    """A worker's encoder of a file, kept for later tasks."""
+    """A worker's encoder of a file, kept for later tasks of this operator."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
@@ -314,9 +314,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     rest = [c for c in docs.columns if c not in (text_col, "token_ids", "n_tokens")]
     schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for b in batches:
+        for b in few(batches):
             texts = [t or "" for t in b.column(len(rest)).to_pylist()]
             for lo, hi in _groups(texts):
                 ids, at = e.agreed(texts[lo:hi])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Words, chunks, fresh_name, mix, signed, table, without_ids, written
+from .common import SLICE_BYTES, Words, chunks, fresh_name, mix, signed, table, tidy, without_ids, written
 from .decontaminate import word_hashes
 
 ORDER, BITS_PER_SIGN = 4, 5
@@ -197,6 +197,7 @@ def logistic(total: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
+@tidy
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word, group and number of the words of texts (text, toxic, fold), chunk by chunk."""
     for b in batches:
@@ -209,6 +210,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _before(sieve: np.ndarray):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each word that the sieve lets through with the word before it, once for each chunk."""
         for b in batches:
@@ -245,6 +247,7 @@ def word_evidence(train: DataFrame) -> DataFrame:
     return words.select(F.col("v").alias("key"), n, *[evidence(m).alias(m) for m in ("both", "fold0", "fold1")])
 
 
+@tidy
 def _of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of texts, once for each chunk."""
     for b in batches:
@@ -252,6 +255,7 @@ def _of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"key": pa.array(signed(np.unique(word_hashes(w))))})
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sequence counts of a task's texts (text, toxic, fold), by fold and class."""
     total = np.zeros(4 * CODES, np.int64)
@@ -317,6 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     halves = [Evidence(arrow["key"].to_numpy().view(np.uint64), arrow[f"fold{k}"].to_numpy()) for k in (1, 0)]
     other = [(log_ratios(counts[2:]), halves[0]), (log_ratios(counts[:2]), halves[1])]
 
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fold = b.column(2).to_numpy(zero_copy_only=False)
@@ -333,6 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _sieve(rest: DataFrame) -> np.ndarray:
     """A table of 2**SIEVE_BITS bits, as bytes, with a bit for each key: of fixed size, filled by the tasks."""
 
+    @tidy
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = [(b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64) for b in batches]
         at = np.unique(np.concatenate(places)) if places else np.zeros(0, np.int64)
@@ -354,6 +360,7 @@ def totals(rows: DataFrame, model: ToxicModel) -> DataFrame:
     """row (a long) and total, the calibrated evidence, of each row (row, text)."""
     if model.rest is None:
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for lo, hi, w in chunks(b.column(1), lower=True):
@@ -362,6 +369,7 @@ def totals(rows: DataFrame, model: ToxicModel) -> DataFrame:
         return rows.select("row", "text").mapInArrow(run, "row long, total double")
     sieve, own = _sieve(model.rest), model.local()
 
+    @tidy
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, w in chunks(b.column(1), lower=True):
@@ -415,6 +423,7 @@ def keep_ordinary(docs: DataFrame, model: ToxicModel, text_col: str = "text", th
         gone = totals(rows.select(F.col(f"`{row}`").alias("row"), F.col(f"`{text_col}`").alias("text")), model).where(F.col("total") >= least)
         return without_ids(rows, gone.select("row"), row).drop(row)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.concatenate([model.totals(w) < least for _, _, w in chunks(b.column(place), lower=True)] or [np.zeros(0, bool)])

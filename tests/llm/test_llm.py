@@ -819,3 +819,36 @@ def test_long_texts_take_little_memory():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak - fixed < 40 * len(t), (run, peak / len(t))
+
+
+def test_tasks_give_back_what_they_free():
+    """In a process of their own, as in a worker: after a pass hardly any freed memory is left that the allocator could give back."""
+    import subprocess
+    import sys
+
+    code = r"""
+import ctypes, re
+import numpy as np, pyarrow as pa
+from logweir.llm import near_dup, pii, sentencepieces, toxicity
+import public_tokenizers
+def anonymous():
+    return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+rng = np.random.default_rng(3)
+texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 20, 300)) for _ in range(6000)]
+plain = pa.RecordBatch.from_pydict({"doc_id": list(range(6000)), "text": texts})
+trained = pa.RecordBatch.from_pydict({"text": texts, "toxic": pa.array([1, 0] * 3000, pa.int32()), "fold": pa.array([0] * 6000, pa.int32())})
+del texts
+trim = ctypes.CDLL(None).malloc_trim
+sentencepieces.encoder(public_tokenizers.path("piece_bpe_32k.model"))
+for run, batch in ((near_dup._sign, plain), (toxicity._count, trained), (toxicity._word_counts, trained), (toxicity._before(np.ones(1 << 24, np.uint8)), trained.select(["text"])), (pii._counts, plain.select(["text"]))):
+    trim(0)
+    for out in run(iter([batch])):
+        pass
+    del out
+    held = anonymous()
+    trim(0)
+    print(run.__qualname__, round(held - anonymous(), 1), len(sentencepieces._encoders))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True, cwd=__file__.rsplit("/tests/", 1)[0]).stdout
+    found = [line.rsplit(" ", 2) for line in out.splitlines()]
+    assert len(found) == 5 and all(float(mb) < 6 and kept == "0" for _, mb, kept in found), out
