@@ -228,6 +228,63 @@ def test_failed_flush_is_written_once(spark, tmp_path, monkeypatch):
     assert sorted((r["tenant_id"], r["msg"]) for r in store.lines().collect()) == [(1, "of 1"), (2, "of 2"), (3, "of 3")]
 
 
+def test_pushes_are_counted_as_they_come(spark, tmp_path, monkeypatch):
+    """Each push costs the same, however many wait: none goes through those before it."""
+
+    class Unread(list):
+        def __iter__(self):
+            raise AssertionError("read for a push")
+
+    one = json.dumps(json.loads(body(LINES[:1])))
+    e = LogEngine(LogStore(spark, str(tmp_path / "s")), flush_bytes=3 * len(one))
+    e.waiting = Unread()
+    for _ in range(2):
+        e.ingest_push(one, 5)
+    assert len(e.waiting) == 2
+    taken = []
+    monkeypatch.setattr(LogEngine, "_lines", lambda *_: None)
+    monkeypatch.setattr(LogStore, "append", lambda *a: taken.append(a))
+    for _ in range(4):  # the third flushes, from the next on it is counted anew
+        e.ingest_push(one, 5)
+    assert len(taken) == 2 and not e.waiting
+    e.ingest_push(one, 5)
+    assert len(taken) == 2 and len(e.waiting) == 1
+
+
+def test_tables_of_bodies_wait(spark, tmp_path):
+    """They are seen beside bodies that came one by one, refused as a whole, and written once by a flush."""
+    from pyspark.sql import functions as F
+
+    from logweir.sources.push import as_bodies, flatten, parsed, to_lines
+
+    table = lambda *rows: spark.createDataFrame(list(rows), "tenant int, body string")
+    odd = ({"zone": 'e"u\\'}, 2, 'say "hi",\n\\ \u2603', {"id": "1", 'k"': "]}"})
+    q, found = parse("[-1h,now] {zone!=x}", NOW), lambda df: [(r["fields"]["id"], r["msg"]) for r in df.collect()]
+    e = LogEngine(LogStore(spark, str(tmp_path / "s")))
+    lines = to_lines(flatten(table((5, body([odd]))).select(parsed(F.col("body")))), 5)
+    e.ingest_table(as_bodies(lines))
+    e.ingest_push(body([({"zone": "us"}, 3, "pushed", {"id": "2"})]), 5)
+    e.ingest_table(table((6, body([({"zone": "eu"}, 1, "of another", {"id": "3"})])), (5, body([({"zone": "eu"}, 4, "last", {"id": "4"})]))))
+    want = [("1", odd[2]), ("2", "pushed"), ("4", "last")]
+    assert found(e.run(q, 5)) == [] and found(e.run(q, 5, waiting=True, now_ns=NOW)) == want
+    for text, code, status in (("{", "INVALID_JSON", 400), (None, "INVALID_JSON", 400), (body([({}, 0, "x" * (4 << 20), {})]), "BODY_TOO_LARGE", 413)):
+        with pytest.raises(InvalidPush) as refused:
+            e.ingest_table(table((5, body(LINES[:1])), (5, text)))
+        assert (refused.value.code, refused.value.status) == (code, status)
+    for _ in range(2):
+        e.flush(NOW)
+        assert found(e.run(q, 5)) == found(e.run(q, 5, waiting=True, now_ns=NOW)) == want
+    assert e.store.lines().count() == 4
+
+
+def test_waiting_lines_stay_with_the_executors(spark, monkeypatch):
+    """However many lines wait, none comes to the driver to be pushed from there."""
+    from logweir import catalog
+
+    monkeypatch.setattr(LogEngine, "ingest_push", lambda *_: (_ for _ in ()).throw(Lost()))
+    assert catalog.QUERIES["union_mem_disk"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_times_in_any_zone(spark):
     from pyspark.sql import functions as F
 
